@@ -99,7 +99,7 @@ def test_mixing(spark, odd, none):
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns
     assert sum(len(_words(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
-    many = _docs(spark, [(i, "w " * (1 + i % 50), "pqrst"[i * i % 5]) for i in range(4000)])
+    many = _docs(spark, [(i, "w " * (1 + i % 50), "pqrst"[i % 5]) for i in range(4000)])
     taken, target = Counter(), {}
     for r in mixing.op3_mixing(many).collect():
         taken[r.source_size] += r.taken
@@ -368,7 +368,7 @@ def test_machine_learns_a_pair():
     for k in range(2000):
         a, b = k % 2, k // 2 % 2
         rows.append(np.array(sorted({10 * (a + 1), 1000 * (b + 1), *rng.integers(5000, 5020, 3).tolist()})))
-        y.append(int(a == b and rng.random() > 0.02) if True else 0)
+        y.append(int(a == b and rng.random() > 0.02))
     m = toxicity.fit(rows, np.array(y), seed=3, epochs=30)
     assert m.latent.shape[1] == toxicity.FACTORS
 
