@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 K = 5
-TOKENS_A_BATCH = 5_000_000
-KEYS_A_RANGE = 1_500_000
+TOKENS_A_BATCH = 2_000_000
+KEYS_A_RANGE = 1_000_000
 END, START = 0x0123456789ABCDEF, 0x0FEDCBA987654321
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -77,7 +77,7 @@ def batches(docs: DataFrame, is_held) -> DataFrame:
         ids, held, docs_tokens, n = [], [], [], 0
 
         def word(w: bytes) -> int:
-            if len(known) > 1_500_000:
+            if len(known) > 500_000:
                 known.clear()
             h = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
             return h
