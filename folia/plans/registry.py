@@ -1,15 +1,354 @@
-"""All registered queries and their DuckDB twins."""
+"""All registered queries and their DuckDB twins, side by side."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folia.functions import scalars as S
+from folia.operators import annotations as A
+from folia.operators import dom
+from folia.operators import references as R
+from folia.operators import sequences as Q
+from folia.operators import text_layer as T
+from folia.sources.html import dom_nodes
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql.replace("{LINES}", _LINES)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM documents),
+lines AS (SELECT *, CAST(line_no // 40 AS INTEGER) AS page_index FROM l)"""
+_BOXES = """b AS (SELECT *, length(line) AS n, coalesce(sum(length(line)) OVER (PARTITION BY doc_id, page_index ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset FROM lines),
+boxes AS (SELECT doc_id, page_index, line_no, 72.0::DOUBLE AS x1, CAST(792 - 12 * (line_no % 40) - 12 AS DOUBLE) AS y1, CAST(72 + 6 * n AS DOUBLE) AS x2, CAST(792 - 12 * (line_no % 40) AS DOUBLE) AS y2,
+    CAST(start_offset AS BIGINT) AS start_offset, CAST(start_offset + n - 1 AS BIGINT) AS end_offset FROM b WHERE n > 0)"""
+
+
+def _lines(spark, d):
+    return T.lines(_t(spark, d, "documents"))
+
+
+# Pages
+
+
+@_query()
+def html_full_text(spark, d):
+    """Per page: title, counts of headings and links, text of the body."""
+    nodes = dom_nodes(_t(spark, d, "pages"))
+    counts = nodes.groupBy("page_id").agg(F.count_if(F.col("tag").rlike("^h[1-6]$")).alias("n_headings"), F.count_if(F.col("attrs")["href"].isNotNull()).alias("n_links"))
+    body = dom.text_of(nodes.filter("tag is null or tag not in ('script', 'style')"), dom.first_element(nodes, "article"))
+    text = body.select("page_id", F.trim(S.collapse_blanks(F.col("text"))).alias("text"))
+    return dom.metadata(nodes).select("page_id", "title").join(counts, "page_id").join(text, "page_id", "left").withColumn("n_chars", F.char_length("text"))
+
+
+@_query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw_title, CAST(len(regexp_extract_all(html, '<a href="[^"]*"')) AS INTEGER) AS n_links,
+    CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS n_paragraphs, CAST(length(html) AS INTEGER) AS n_chars FROM pages""")
+def page_metadata(spark, d):
+    return _t(spark, d, "pages").select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("raw_title"), F.regexp_count("html", F.lit('<a href="[^"]*"')).alias("n_links"),
+        F.regexp_count("html", F.lit("<p>")).alias("n_paragraphs"), F.char_length("html").alias("n_chars"),
+    )
+
+
+@_query("""SELECT page_id, CAST(generate_subscripts(hs, 1) - 1 AS INTEGER) AS link_no, unnest(hs) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages)""")
+def page_links(spark, d):
+    """Links from the element table; the twin reads them off the markup."""
+    from pyspark.sql import Window
+
+    a = dom.elements(dom_nodes(_t(spark, d, "pages")), "a").filter(F.col("attrs")["href"].isNotNull())
+    return a.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("pre")) - 1).alias("link_no"), F.col("attrs")["href"].alias("href"))
+
+
+@_query("""WITH u AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') AS href FROM pages)
+SELECT page_id, CASE WHEN strpos(href, '#') > 0 THEN substr(href, 1, strpos(href, '#') - 1) ELSE href END AS path, CASE WHEN strpos(href, '#') > 0 THEN substr(href, strpos(href, '#') + 1) END AS fragment FROM u""")
+def href_parts(spark, d):
+    path, fragment = S.split_href(F.col("href"))
+    return _t(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://[^/]*", "").alias("href")).select("page_id", path.alias("path"), fragment.alias("fragment"))
+
+
+@_query("""SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '' AND x <> '.'), '/') AS resolved FROM pages""")
+def href_resolved(spark, d):
+    return _t(spark, d, "pages").select("page_id", S.resolve_path(F.concat(F.lit("a/../"), F.regexp_replace("url", "^https?://", ""))).alias("resolved"))
+
+
+@_query()
+def page_dom_index(spark, d):
+    x = dom.stream_index(dom_nodes(_t(spark, d, "pages")))
+    return x.select("page_id", "pre", "last_pre", "parent", "depth", "tag", "text_start", "nth_of_type", "last_of_type")
+
+
+# Text layer
+
+
+@_query("WITH {LINES}, " + _BOXES + " SELECT * FROM boxes")
+def doc_lines(spark, d):
+    return T.line_boxes(_lines(spark, d))
+
+
+@_query("""WITH {LINES}, w AS (SELECT doc_id, page_index, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM lines)
+SELECT doc_id, page_index, line_no, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS word_no, unnest(ws) AS word FROM w""")
+def doc_words(spark, d):
+    return T.words(_lines(spark, d))
+
+
+@_query("""WITH {LINES}, p AS (SELECT doc_id, page_index, trim(string_agg(line, chr(10) ORDER BY line_no), ' ') AS t FROM lines GROUP BY ALL)
+SELECT doc_id, string_agg(t, chr(12) ORDER BY page_index) FILTER (page_index < 2) AS text, CAST(count(*) FILTER (page_index < 2) AS BIGINT) AS extracted_pages, count(*) AS total_pages FROM p GROUP BY doc_id""")
+def doc_fulltext_pages(spark, d):
+    return T.full_text(_lines(spark, d), F.col("page_index") < 2)
+
+
+@_query(r"""WITH {LINES}, w AS (SELECT unnest(string_split(line, ' ')) AS word FROM lines), c AS (SELECT regexp_replace(word, '^[^\p{L}]+|[^\p{L}]+$', '', 'g') AS word FROM w)
+SELECT DISTINCT word FROM c WHERE word = lower(word) AND upper(word) <> lower(word)""")
+def regular_words(spark, d):
+    return T.regular_words(T.words(_lines(spark, d)))
+
+
+@_query("WITH {LINES}, " + _BOXES + """ SELECT doc_id, page_index, line_no, round(coalesce(greatest(lag(y1) OVER w - y2, 0), 0) / 792.0::DOUBLE, 6) AS gap, round(coalesce((x2 - lag(x2) OVER w) / 612.0::DOUBLE, 0), 6) AS shift
+FROM boxes WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY line_no)""")
+def line_gap_features(spark, d):
+    return T.gap_features(T.line_boxes(_lines(spark, d)))
+
+
+@_query("""WITH {LINES}, x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM lines),
+y AS (SELECT *, CAST(CASE WHEN n <= 8 THEN i ELSE ((i + 1) * 8 - 1) // n END AS INTEGER) AS bucket FROM x)
+SELECT doc_id, bucket, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines FROM y GROUP BY ALL""")
+def fallback_blocks(spark, d):
+    x = Q.even_buckets(_lines(spark, d), ["doc_id"], "line_no", 8)
+    return x.groupBy("doc_id", "bucket").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count(F.lit(1)).alias("n_lines"))
+
+
+@_query("""WITH {LINES}, f AS (SELECT doc_id, page_index, line_no, strpos(line, '|') > 0 AS mono FROM lines),
+c AS (SELECT *, CASE WHEN lag(mono) OVER w IS NULL OR lag(mono) OVER w <> mono THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY line_no)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_index ORDER BY line_no) AS island FROM c)
+SELECT doc_id, page_index, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines FROM i WHERE mono GROUP BY doc_id, page_index, island HAVING count(*) >= 2""")
+def mono_regions(spark, d):
+    flagged = _lines(spark, d).withColumn("mono", F.instr("line", "|") > 0)
+    x = Q.islands(flagged, ["doc_id", "page_index"], "line_no", F.col("mono")).filter("mono")
+    return x.groupBy("doc_id", "page_index", "island").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count(F.lit(1)).alias("n_lines")).filter("n_lines >= 2").drop("island")
+
+
+_LEVELS = "h AS (SELECT doc_id, line_no, CAST(1 + length(line) % 6 AS INTEGER) AS level FROM lines WHERE length(line) > 0)"
+
+
+@_query("WITH {LINES}, " + _LEVELS + """ SELECT a.doc_id, a.line_no, a.level, CAST(max(b.line_no) AS INTEGER) AS parent FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY ALL""")
+def heading_outline_parent(spark, d):
+    h = _lines(spark, d).filter(F.char_length("line") > 0).select("doc_id", "line_no", (1 + F.char_length("line") % 6).alias("level"))
+    return Q.outline_parents(h, "doc_id", "line_no", "level").withColumn("parent", F.col("parent").cast("int"))
+
+
+@_query("""WITH {LINES}, s AS (SELECT doc_id, page_index, count(*) AS n FROM lines GROUP BY ALL)
+SELECT doc_id, page_index, n, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s""")
+def section_offsets(spark, d):
+    return Q.offsets(_lines(spark, d).groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("n")), "doc_id", "page_index", "n")
+
+
+@_query("""SELECT o_orderkey, o_custkey, o_orderdate, (SELECT arg_max(m.o_orderkey, m.o_orderdate) FROM orders m WHERE m.o_custkey = o.o_custkey AND m.o_orderpriority = '1-URGENT' AND m.o_orderdate <= o.o_orderdate) IS NOT NULL AS found,
+    (SELECT max(m.o_orderdate) FROM orders m WHERE m.o_custkey = o.o_custkey AND m.o_orderpriority = '1-URGENT' AND m.o_orderdate <= o.o_orderdate) AS mark FROM orders o""")
+def page_for_block(spark, d):
+    """As-of look-up: for each order the customer's last urgent order at or before it."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    marks = _t(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderdate").alias("at"), F.col("o_orderdate").alias("mark"))
+    x = Q.as_of(o, marks, "o_custkey", "o_orderdate", "at", "mark")
+    return x.select("o_orderkey", "o_custkey", "o_orderdate", F.col("mark").isNotNull().alias("found"), "mark")
+
+
+@_query("""WITH RECURSIVE {LINES}, b AS (SELECT doc_id, line_no, length(line) AS n FROM lines),
+r AS (SELECT doc_id, line_no, n AS since, 0 AS location FROM b WHERE line_no = 0
+UNION ALL SELECT b.doc_id, b.line_no, CASE WHEN r.since >= 1800 THEN b.n ELSE r.since + b.n END, CASE WHEN r.since >= 1800 THEN r.location + 1 ELSE r.location END FROM r JOIN b ON b.doc_id = r.doc_id AND b.line_no = r.line_no + 1)
+SELECT doc_id, line_no, CAST(location AS INTEGER) AS location FROM r""")
+def epub_locations(spark, d):
+    x = Q.locations(_lines(spark, d).select("doc_id", "line_no", F.char_length("line").alias("n")), "doc_id", "line_no", "n", 1800)
+    return x.withColumn("line_no", F.col("line_no").cast("int"))
+
+
+# Lists and flow
+
+
+@_query("""WITH c AS (SELECT *, CASE WHEN lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS island, CASE role WHEN 'user' THEN 'body' WHEN 'assistant' THEN 'auxiliary' ELSE 'excluded' END AS flow FROM c),
+g AS (SELECT conv_id, island // 3 AS list_no, count(*) AS n_items, count_if(flow = 'body') AS nb, count_if(flow = 'auxiliary') AS na, count_if(flow = 'excluded') AS ne FROM i GROUP BY ALL)
+SELECT conv_id, CAST(list_no AS BIGINT) AS list_no, n_items, CASE WHEN nb >= na AND nb >= ne THEN 'body' WHEN na >= ne THEN 'auxiliary' ELSE 'excluded' END AS flow FROM g""")
+def list_wrap_majority(spark, d):
+    x = Q.islands(_t(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", F.col("role"))
+    flow = F.when(F.col("role") == "user", "body").when(F.col("role") == "assistant", "auxiliary").otherwise("excluded")
+    x = x.withColumn("list_no", F.floor(F.col("island") / 3)).withColumn("flow", flow)
+    return x.groupBy("conv_id", "list_no").agg(F.count(F.lit(1)).alias("n_items"), Q.majority_flow(F.col("flow")).alias("flow"))
+
+
+@_query(r"""WITH {LINES}, x AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS after FROM lines)
+SELECT doc_id, line_no, regexp_matches(line, '[^.!?]$') AND regexp_matches(after, '^[a-z]') AS next_part FROM x WHERE after IS NOT NULL""")
+def paragraph_parts(spark, d):
+    from pyspark.sql import Window
+
+    x = _lines(spark, d).withColumn("after", F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))).filter("after is not null")
+    return x.select("doc_id", "line_no", (F.col("line").rlike("[^.!?]$") & F.col("after").rlike("^[a-z]")).alias("next_part"))
+
+
+# References, labels, links
+
+
+@_query(r"""SELECT p_partkey, coalesce(nullif(CAST(regexp_extract(p_name || ' ' || p_size, '([0-9]{1,9})[^0-9]*$', 1) AS INTEGER), 0), 0) AS number FROM part""")
+def page_label_candidates(spark, d):
+    x = R.label_candidates(_t(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("t")), "t")
+    return x.select("p_partkey", "number")
+
+
+@_query("""WITH i AS (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) || ' x ' || CAST(year(o_orderdate) AS VARCHAR) AS text FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT o_custkey, 'Name' AS text FROM orders WHERE o_orderstatus = 'P')
+SELECT o_custkey, count(*) AS n_items, count_if(text <> 'Name') AS n_years FROM i GROUP BY o_custkey HAVING count_if(text <> 'Name') >= 0.7 * count(*)""")
+def ref_list_valid(spark, d):
+    text = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("x "), F.year("o_orderdate").cast("string"))).otherwise("Name")
+    return R.valid_lists(_t(spark, d, "orders").select("o_custkey", text.alias("text")), ["o_custkey"], 2025)
+
+
+@_query(r"""WITH {LINES}, w AS (SELECT unnest(string_split(line, ' ')) AS word FROM lines), c AS (SELECT regexp_replace(word, '^[^\p{L}]+|[^\p{L}]+$', '', 'g') AS word FROM w),
+reg AS (SELECT DISTINCT word FROM c WHERE word = lower(word) AND upper(word) <> lower(word)),
+k AS (SELECT item_id, string_split_regex(text, '[^\p{L}]+') AS ts FROM benchmark), t AS (SELECT item_id, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS "offset", unnest(ts) AS token FROM k)
+SELECT item_id, "offset", token FROM t WHERE length(token) >= 2 AND regexp_matches(token, '^\p{Lu}') AND lower(token) NOT IN (SELECT word FROM reg)""")
+def ref_index(spark, d):
+    return R.name_tokens(_t(spark, d, "benchmark").select("item_id", "text"), T.regular_words(T.words(_lines(spark, d))))
+
+
+@_query("""WITH c AS (SELECT DISTINCT l_suppkey AS k, l_returnflag AS g, l_partkey AS t FROM lineitem), r AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS t FROM lineitem WHERE l_quantity > 25),
+x AS (SELECT c.k, c.g, count(*) AS n_tokens, count(r.t) AS n_matched FROM c LEFT JOIN r ON c.k = r.k AND c.t = r.t GROUP BY ALL)
+SELECT k AS l_suppkey, g AS l_returnflag, n_tokens, CAST(n_matched AS BIGINT) AS n_matched, CAST(row_number() OVER (PARTITION BY k ORDER BY n_matched DESC, g) AS INTEGER) AS place FROM x WHERE n_matched > 0.3 * n_tokens""")
+def citation_coverage(spark, d):
+    li = _t(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_partkey", "l_quantity")
+    return R.coverage(li, li.filter("l_quantity > 25"), "l_suppkey", "l_returnflag", "l_partkey")
+
+
+@_query("SELECT l_returnflag, l_partkey, min(l_orderkey) AS l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL")
+def figure_first_caption(spark, d):
+    return R.first_captions(_t(spark, d, "lineitem").select("l_returnflag", "l_partkey", "l_orderkey"), ["l_returnflag", "l_partkey"], "l_orderkey")
+
+
+_RANGES = """r AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS s, l_partkey % 50 + CAST(l_quantity AS BIGINT) AS e FROM lineitem)"""
+
+
+def _ranges(spark, d):
+    x = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).alias("start"), F.col("l_quantity").cast("long").alias("q"))
+    return x.select("l_orderkey", "l_linenumber", "start", (F.col("start") + F.col("q")).alias("end"))
+
+
+@_query("WITH " + _RANGES + """ SELECT l_orderkey, l_linenumber, s AS start, e AS "end" FROM r WHERE l_linenumber > 1 AND NOT EXISTS (SELECT 1 FROM r h WHERE h.l_linenumber = 1 AND h.l_orderkey = r.l_orderkey AND r.s <= h.e AND h.s <= r.e)""")
+def link_overlap_antijoin(spark, d):
+    x = _ranges(spark, d)
+    return Q.not_overlapping(x.filter("l_linenumber > 1"), x.filter("l_linenumber = 1").select("l_orderkey", "start", "end"), ["l_orderkey"])
+
+
+# Annotations
+
+
+_NOTES = """n AS (SELECT l_orderkey AS ord, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'note' ELSE 'highlight' END AS type, l_suppkey % 7 AS page_index, l_partkey % 10 AS x1, l_quantity AS width FROM lineitem)"""
+
+
+def _notes(spark, d):
+    return _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("ord"), "l_linenumber", F.when(F.col("l_returnflag") == "R", "note").otherwise("highlight").alias("type"),
+        (F.col("l_suppkey") % 7).alias("page_index"), (F.col("l_partkey") % 10).alias("x1"), F.col("l_quantity").alias("width"),
+    )
+
+
+@_query("WITH " + _NOTES + """ SELECT type, page_index, x1, width, max(ord) AS ord, min(ord) AS place FROM n GROUP BY type, page_index, x1, width""")
+def annot_dedup(spark, d):
+    return A.deduplicated(_notes(spark, d).drop("l_linenumber"), "ord", ["type", "page_index", "x1", "width"])
+
+
+@_query("WITH " + _NOTES + """ SELECT * FROM n a WHERE l_linenumber > 3 AND NOT EXISTS (SELECT 1 FROM n b WHERE b.l_linenumber <= 3 AND b.type = a.type AND b.page_index = a.page_index AND b.x1 = a.x1 AND b.width = a.width AND b.ord % 5 = 0)""")
+def annot_imported(spark, d):
+    n = _notes(spark, d)
+    return A.imported(n.filter("l_linenumber > 3"), n.filter("l_linenumber <= 3 and ord % 5 = 0"), ["type", "page_index", "x1", "width"])
+
+
+@_query("WITH " + _NOTES + """ SELECT ord FROM n a WHERE l_linenumber <= 3 AND NOT EXISTS (SELECT 1 FROM n b WHERE b.l_linenumber > 3 AND b.type = a.type AND b.page_index = a.page_index AND b.x1 = a.x1 AND b.width = a.width AND b.ord % 9 = 0)""")
+def annot_deleted(spark, d):
+    n = _notes(spark, d)
+    return A.deleted(n.filter("l_linenumber > 3 and ord % 9 = 0"), n.filter("l_linenumber <= 3"), ["type", "page_index", "x1", "width"]).select("ord")
+
+
+@_query("""SELECT l_orderkey, l_linenumber, lpad(CAST(l_suppkey % 90 AS VARCHAR), 5, '0') || '|' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || '|' || lpad(CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR), 5, '0') AS sort_index FROM lineitem""")
+def annot_sort_index(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.sort_index(F.col("l_suppkey") % 90, F.col("l_partkey"), F.col("l_quantity")).alias("sort_index"))
+
+
+@_query(r"""WITH x AS (SELECT p_partkey, regexp_replace(lower(p_name), '\s+', '', 'g') AS a, regexp_replace(lower(p_type), '\s+', '', 'g') AS b FROM part)
+SELECT p_partkey, levenshtein(a, b) < 0.1 * length(a) AS equal, levenshtein(a, a || 'x') < 0.1 * length(a) AS equal_longer FROM x""")
+def text_approx_equal(spark, d):
+    return _t(spark, d, "part").select("p_partkey", S.nearly_equal(F.col("p_name"), F.col("p_type")).alias("equal"), S.nearly_equal(F.col("p_name"), F.concat("p_name", F.lit("x"))).alias("equal_longer"))
+
+
+@_query("WITH {LINES}, " + _BOXES + """, h AS (SELECT doc_id AS id, doc_id, 0 AS page_index, 60.0::DOUBLE AS x1, 700.0::DOUBLE AS y1, 60.0::DOUBLE + (doc_id % 900) AS x2, 770.0::DOUBLE AS y2 FROM documents)
+SELECT h.id, min(b.line_no) AS first, max(b.line_no) AS last FROM h JOIN boxes b ON b.doc_id = h.doc_id AND b.page_index = h.page_index AND (b.x1 + b.x2) / 2 BETWEEN h.x1 AND h.x2 AND (b.y1 + b.y2) / 2 BETWEEN h.y1 AND h.y2 GROUP BY h.id""")
+def highlight_text_range(spark, d):
+    h = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "doc_id", F.lit(0).alias("page_index"), F.lit(60.0).alias("x1"), F.lit(700.0).alias("y1"), (60.0 + F.col("doc_id") % 900).alias("x2"), F.lit(770.0).alias("y2"))
+    return A.covered_range(h, T.line_boxes(_lines(spark, d)).withColumn("offset", F.col("line_no")), ["doc_id", "page_index"])
+
+
+@_query("WITH {LINES}, " + _BOXES + """, h AS (SELECT doc_id AS id, doc_id, 0 AS page_index, CAST(doc_id % 600 AS DOUBLE) AS x, CAST(doc_id % 700 AS DOUBLE) AS y FROM documents),
+g AS (SELECT h.id, b.line_no, sqrt(power(greatest(h.x - b.x2, b.x1 - h.x - 10, 0), 2) + power(greatest(h.y - b.y2, b.y1 - h.y - 10, 0), 2)) AS gap FROM h JOIN boxes b ON b.doc_id = h.doc_id AND b.page_index = h.page_index)
+SELECT id, line_no AS "offset", round(gap, 6) AS gap FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY gap, line_no) = 1""")
+def closest_offset(spark, d):
+    x, y = (F.col("doc_id") % 600).cast("double"), (F.col("doc_id") % 700).cast("double")
+    h = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "doc_id", F.lit(0).alias("page_index"), x.alias("x1"), y.alias("y1"), (x + 10).alias("x2"), (y + 10).alias("y2"))
+    return A.closest(h, T.line_boxes(_lines(spark, d)).withColumn("offset", F.col("line_no")), ["doc_id", "page_index"])
+
+
+@_query("""SELECT l_orderkey, l_linenumber, CASE WHEN r + 270 > 360 THEN (r + 270) % 360 ELSE r + 270 END AS rotation FROM (SELECT l_orderkey, l_linenumber, 90 * (l_partkey % 4) AS r FROM lineitem)""")
+def pages_rotated(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", A.rotated(90 * (F.col("l_partkey") % 4), 270).alias("rotation"))
+
+
+@_query("""WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber AS page_index FROM lineitem), k AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = p.l_orderkey AND r.l_linenumber = p.page_index AND r.l_returnflag = 'R'))
+SELECT l_orderkey, page_index, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY page_index) - 1 AS INTEGER) AS new_index FROM k""")
+def pages_deleted(spark, d):
+    li = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("page_index"), "l_returnflag")
+    return A.without_pages(li.drop("l_returnflag").distinct(), li.filter("l_returnflag = 'R'"), "l_orderkey")
+
+
+@_query("""SELECT l_orderkey AS id, l_linenumber AS line, l_linenumber - 1 AS page_index, floor((l_quantity - 11) * 1000 + 0.5) / 1000 AS x1, floor((l_tax - 11) * 1000 + 0.5) / 1000 AS y1, floor((l_quantity + 11) * 1000 + 0.5) / 1000 AS x2, floor((l_tax + 11) * 1000 + 0.5) / 1000 AS y2 FROM lineitem""")
+def third_party_notes(spark, d):
+    n = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("type"), F.col("l_linenumber").alias("page"), F.col("l_quantity").alias("x"), F.col("l_tax").alias("y"))
+    return A.third_party(n).withColumnRenamed("type", "line")
+
+
+@_query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 16""")
+def object_topk(spark, d):
+    li = _t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return Q.top_k(li, ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 16).drop("l_suppkey")
+
+
+@_query("""WITH c AS (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_suppkey, arg_min(l_quantity, (-n, l_quantity)) AS modal, max(n) AS n FROM c GROUP BY l_suppkey""")
+def modal_font(spark, d):
+    c = _t(spark, d, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("l_suppkey").agg(F.min_by("l_quantity", F.struct(-F.col("n"), "l_quantity")).alias("modal"), F.max("n").alias("n"))
+
+
+@_query("SELECT l_returnflag, l_linestatus, count(*) AS n, median(l_quantity) AS mid, max(l_quantity) AS top FROM lineitem GROUP BY ALL")
+def style_stats(spark, d):
+    return _t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.median("l_quantity").alias("mid"), F.max("l_quantity").alias("top"))
