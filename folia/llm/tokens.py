@@ -34,6 +34,9 @@ ROWS_A_BATCH = 256
 END_ID = 2
 MOST_PIECES = 400_000
 _BLANKS = re.compile(r"[ \t\n\r]+")
+#: A piece whose letters (ASCII and Latin-1) and marks the tokenizer splits from each other, whatever they are.
+_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([%&#$*.,;:|!?]+)")
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -49,9 +52,20 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.lib, self.known, self.end = Tokenizer.from_file(path), {}, np.uint32(end_id).tobytes()
+        self.lib, self.known, self.parts, self.end = Tokenizer.from_file(path), {}, {}, np.uint32(end_id).tobytes()
         self.vocabulary = self.lib.get_vocab_size()
 
+    def _learn(self, new: set[str]) -> None:
+        parts = {p: m.groups() if (m := _LETTERS_MARKS.fullmatch(p)) else (p,) for p in new}
+        own = self.parts
+        if len(own) > MOST_PIECES:
+            own.clear()
+        missing = list({x for xs in parts.values() for x in xs if x not in own})
+        for x, got in zip(missing, self.lib.encode_batch(missing, add_special_tokens=False), strict=True):
+            own[x] = np.array(got.ids, "<u4").tobytes()
+        for p, xs in parts.items():
+            self.known[p] = b"".join([own[x] for x in xs])
+
     def __call__(self, text: str | None) -> bytes:
         pieces = _BLANKS.split(text or "")
         known = self.known
@@ -59,12 +73,18 @@ class Encoder:
             if len(known) + len(new) > MOST_PIECES:
                 known.clear()
                 new = set(pieces)
-            new_list = list(new)
-            for piece, got in zip(new_list, self.lib.encode_batch(new_list, add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, "<u4").tobytes()
+            self._learn(new)
         return b"".join([known[p] for p in pieces]) + self.end
 
 
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process, so that later tasks find its pieces known."""
+    key = (path, END_ID)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path)
+    return _encoders[key]
+
+
 def _open(path: str):
     return pafs.FileSystem.from_uri(path)
 
@@ -128,7 +148,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LEN
         for batch in frames:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if out is None:
-                    encoder = Encoder(tokenizer)
+                    encoder = worker_encoder(tokenizer)
                     out = _File(folder, f"part-{k:06d}", pa.uint16() if encoder.vocabulary <= 1 << 16 else pa.uint32(), length)
                 out.add(doc_id, np.frombuffer(encoder(text.as_py()), "<u4").astype(out.kind.to_pandas_dtype()))
         if out:

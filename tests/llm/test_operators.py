@@ -199,7 +199,7 @@ def test_pieces_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
     lib, own = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer())
-    for text in ["It's 3.5% of   THE cost here", "á b ́c <|endoftext|> d", "tab\tline\r\nnext\x0bv\x0cf\x1cg", "日本語 テキスト", "don't  stop'll\n\n", "  lead"]:
+    for text in ["It's 3.5% of   THE cost here", "á b ́c <|endoftext|> d", "tab\tline\r\nnext\x0bv\x0cf\x1cg", "日本語 テキスト", "don't  stop'll\n\n", "  lead", "Wörter%%% Ünd!?, A.b don't*** é&&& ÿ; ×÷% ß### 3%%% x's|"]:
         assert np.frombuffer(own(text), "<u4").tolist() == [*lib.encode(text, add_special_tokens=False).ids, 2]
 
 
