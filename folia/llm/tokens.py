@@ -15,6 +15,7 @@ An empty table gives no files and no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -33,9 +34,14 @@ LENGTH = 2048
 ROWS_A_BATCH = 256
 END_ID = 2
 MOST_PIECES = 400_000
+PIECES_A_CALL = 64
+DOCS_A_CALL = 32
 _BLANKS = re.compile(r"[ \t\n\r]+")
-#: A piece whose letters (ASCII and Latin-1) and marks the tokenizer splits from each other, whatever they are.
-_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([%&#$*.,;:|!?]+)")
+#: A piece of letters (ASCII and Latin-1), then marks: the tokenizer splits the two whatever they are.
+_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([%&#$*.,;:|!?]*)")
+_LATIN = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]]
+#: Steps of the tokenizers whose texts can be encoded piece by piece; other tokenizers get whole texts.
+_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -46,35 +52,62 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Texts to 32-bit little-endian ids, by pieces between blanks."""
+    """Texts to 32-bit little-endian ids, by pieces between blanks where the tokenizer allows it."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.lib, self.known, self.parts, self.end = Tokenizer.from_file(path), {}, {}, np.uint32(end_id).tobytes()
-        self.vocabulary = self.lib.get_vocab_size()
+        self.vocabulary, self.model = self.lib.get_vocab_size(), self.lib.model
+        spec = json.loads(self.lib.to_str())
+        steps = tuple([x["type"] for x in (spec[part] or {}).get(inner, [])] for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.by_pieces = steps == _STEPS
+        signs = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {ord(c): signs.pre_tokenize_str(c.lower())[0][0] for c in _LATIN}
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids, from calls on many pieces at once: a token belongs to the piece that its first character is in."""
+        out = []
+        for i in range(0, len(pieces), PIECES_A_CALL):
+            some = pieces[i : i + PIECES_A_CALL]
+            got = self.lib.encode(" ".join(some), add_special_tokens=False)
+            first = np.array([a for a, _ in got.offsets], np.int64)
+            cuts = np.searchsorted(first, np.cumsum([len(p) + 1 for p in some])).tolist()
+            raw = np.array(got.ids, "<u4").tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
 
     def _learn(self, new: set[str]) -> None:
-        parts = {p: m.groups() if (m := _LETTERS_MARKS.fullmatch(p)) else (p,) for p in new}
-        own = self.parts
+        own, known = self.parts, self.known
         if len(own) > MOST_PIECES:
             own.clear()
-        missing = list({x for xs in parts.values() for x in xs if x not in own})
-        for x, got in zip(missing, self.lib.encode_batch(missing, add_special_tokens=False), strict=True):
-            own[x] = np.array(got.ids, "<u4").tobytes()
-        for p, xs in parts.items():
-            self.known[p] = b"".join([own[x] for x in xs])
-
-    def __call__(self, text: str | None) -> bytes:
-        pieces = _BLANKS.split(text or "")
+        split = {p: m.groups() for p in new if (m := _LETTERS_MARKS.fullmatch(p))}
+        other = list(new - split.keys())
+        known.update(zip(other, self._joined(other), strict=True))
+        marks = [x for x in {x for _, x in split.values()} if x not in own]
+        own.update(zip(marks, self._joined(marks), strict=True))
+        for p, (word, mark) in split.items():
+            ids = own.get(word)
+            if ids is None:
+                ids = own[word] = np.array([x.id for x in self.model.tokenize(word.translate(self.signs))], "<u4").tobytes()
+            known[p] = ids + own[mark]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_pieces:
+            return [np.array(x.ids, "<u4").tobytes() + self.end for x in self.lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        pieces = [_BLANKS.split(t or "") for t in texts]
         known = self.known
-        if new := {p for p in pieces if p not in known}:
+        if new := set().union(*pieces).difference(known):
             if len(known) + len(new) > MOST_PIECES:
                 known.clear()
-                new = set(pieces)
+                new = set().union(*pieces)
             self._learn(new)
-        return b"".join([known[p] for p in pieces]) + self.end
+        return [b"".join([known[p] for p in ps]) + self.end for ps in pieces]
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -146,11 +179,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LEN
         encoder, out = None, None
         k = TaskContext.get().partitionId()
         for batch in frames:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if out is None:
-                    encoder = worker_encoder(tokenizer)
-                    out = _File(folder, f"part-{k:06d}", pa.uint16() if encoder.vocabulary <= 1 << 16 else pa.uint32(), length)
-                out.add(doc_id, np.frombuffer(encoder(text.as_py()), "<u4").astype(out.kind.to_pandas_dtype()))
+            if out is None and batch.num_rows:
+                encoder = worker_encoder(tokenizer)
+                out = _File(folder, f"part-{k:06d}", pa.uint16() if encoder.vocabulary <= 1 << 16 else pa.uint32(), length)
+            for at in range(0, batch.num_rows, DOCS_A_CALL):
+                some = batch.slice(at, DOCS_A_CALL)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.many(some.column(1).to_pylist()), strict=True):
+                    out.add(doc_id, np.frombuffer(ids, "<u4").astype(out.kind.to_pandas_dtype()))
         if out:
             out.close()
             yield pa.record_batch({"name": pa.array([f"part-{k:06d}"]), "n_ids": pa.array([out.total], pa.int64()), "n_docs": pa.array([len(out.docs)], pa.int64())})
