@@ -78,14 +78,14 @@ def rising_labels(candidates: DataFrame, key: str) -> DataFrame:
     candidates: key, page, number. A key's candidates are those of one document's pages. Ties: the chain that ends in
     the least number; its members likewise."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def chain(pages: dict[int, list[int]]) -> list[tuple[int, int]]:
         ends: list[int] = []
         chains: list[tuple] = []
-        for page, numbers in sorted(f.groupby("page")["number"]):
+        for page in sorted(pages):
             old, known = list(ends), list(chains)  # a page's numbers don't chain to each other
-            for n in sorted({int(x) for x in numbers}, reverse=True):
+            for n in sorted(pages[page], reverse=True):
                 k = bisect_left(old, n)
-                link = (int(page), n, known[k - 1] if k else None)
+                link = (page, n, known[k - 1] if k else None)
                 if k == len(ends):
                     ends.append(n)
                     chains.append(link)
@@ -95,12 +95,21 @@ def rising_labels(candidates: DataFrame, key: str) -> DataFrame:
         while link:
             rows.append(link[:2])
             link = link[2]
-        out = pd.DataFrame(rows[::-1], columns=["page", "number"])
-        out.insert(0, key, f[key].iloc[0])
-        return out
-
-    rows = candidates.select(key, F.col("page").cast("long"), F.col("number").cast("long")).dropna().distinct()
-    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, page long, number long")
+        return rows[::-1]
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for k, spots in zip(f[key], f["spots"], strict=True):
+                pages: dict[int, list[int]] = {}
+                for spot in spots:
+                    pages.setdefault(spot["page"], []).append(spot["number"])
+                rows += [(k, *x) for x in chain(pages)]
+            yield pd.DataFrame(rows, columns=[key, "page", "number"])
+
+    rows = candidates.select(key, F.col("page").cast("long"), F.col("number").cast("long")).dropna(subset=["page", "number"])
+    gathered = rows.groupBy(key).agg(F.collect_set(F.struct("page", "number")).alias("spots"))
+    return gathered.mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, page long, number long")
 
 
 def chosen_labels(pages: DataFrame, key: str) -> DataFrame:

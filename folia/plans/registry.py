@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from folia.functions import scalars as S
 from folia.operators import annotations as A
+from folia.operators import books as B
 from folia.operators import dom
 from folia.operators import references as R
 from folia.operators import sequences as Q
 from folia.operators import text_layer as T
+from folia.sources import epub as E
 from folia.sources.html import dom_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,3 +354,96 @@ def modal_font(spark, d):
 @_query("SELECT l_returnflag, l_linestatus, count(*) AS n, median(l_quantity) AS mid, max(l_quantity) AS top FROM lineitem GROUP BY ALL")
 def style_stats(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.median("l_quantity").alias("mid"), F.max("l_quantity").alias("top"))
+
+
+# Books
+
+
+_MAPS = """m AS (SELECT l_orderkey AS k, l_linenumber AS ord, CASE WHEN l_suppkey % 9 = 0 THEN 'ab' ELSE CAST(l_linenumber + l_suppkey % 3 AS VARCHAR) END AS label, l_linenumber * 2 AS block FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
+s AS (SELECT DISTINCT l_orderkey AS k, section, section * 4 AS start FROM lineitem CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS section))"""
+
+
+def _maps(spark, d):
+    x = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"))
+    label = F.when(F.col("l_suppkey") % 9 == 0, "ab").otherwise((F.col("l_linenumber") + F.col("l_suppkey") % 3).cast("string"))
+    maps = x.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ord"), label.alias("label"), (F.col("l_linenumber") * 2).alias("block"))
+    sections = maps.select("k").distinct().select("k", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("section"))
+    return maps, sections.withColumn("start", F.col("section") * 4)
+
+
+@_query("WITH " + _MAPS + r""", p AS (SELECT m.*, (SELECT max(section) FROM s WHERE s.k = m.k AND s.start <= m.block) AS section, TRY_CAST(label AS INTEGER) AS n FROM m),
+q AS (SELECT *, lag(n) OVER (PARTITION BY k ORDER BY ord) AS before FROM p WHERE n IS NOT NULL),
+f AS (SELECT k, arg_min(CASE WHEN n < before THEN 4 ELSE 2 END, ord) AS fault FROM q WHERE n < before OR n > before + 3 GROUP BY k),
+r AS (SELECT k, arg_min(label, ord) AS again FROM (SELECT *, row_number() OVER (PARTITION BY k, label ORDER BY ord) AS c FROM m) WHERE c > 1 GROUP BY k),
+g AS (SELECT k, count(*) AS n, count(DISTINCT section) AS covered FROM p GROUP BY k)
+SELECT g.k, CASE WHEN covered * 2 < 4 THEN 0 ELSE n / CAST(coalesce(fault, 1) AS DOUBLE) * CASE WHEN again IS NULL THEN 1 WHEN again = 'ab' THEN 0 ELSE 0.5::DOUBLE END END AS score
+FROM g LEFT JOIN f USING (k) LEFT JOIN r USING (k)""")
+def page_map_scores(spark, d):
+    return B.mapping_scores(*_maps(spark, d), "k")
+
+
+@_query("""WITH x AS (SELECT l_partkey, l_returnflag, l_linestatus, CAST(sum(l_linenumber) AS DOUBLE) AS score FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL)
+SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, l_returnflag, l_linestatus) = 1""")
+def best_marker_group(spark, d):
+    x = _t(spark, d, "lineitem").filter("l_linenumber > 1").groupBy("l_partkey", "l_returnflag", "l_linestatus").agg(F.sum("l_linenumber").cast("double").alias("score"))
+    return B.best_group(x.withColumn("rank", F.struct("l_returnflag", "l_linestatus")), "l_partkey", "rank").drop("rank")
+
+
+@_query("WITH " + _MAPS + """, x AS (SELECT k, ord, label, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE least(block, 7) END AS first FROM m WINDOW w AS (PARTITION BY k ORDER BY ord))
+SELECT *, coalesce(lead(first) OVER (PARTITION BY k ORDER BY ord), 8) AS "end" FROM x""")
+def page_ranges(spark, d):
+    maps, sections = _maps(spark, d)
+    return B.page_ranges(maps, sections.groupBy("k").agg((F.count(F.lit(1)) * 2).cast("int").alias("n_blocks")), "k")
+
+
+@_query("""WITH x AS (SELECT conv_id, turn, coalesce(role = 'user' OR length(text) % 3 > 0, false) AS item, turn // 8 AS page FROM conversations),
+y AS (SELECT *, CASE WHEN item AND lag(item) OVER w AND page = lag(page) OVER w THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+z AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS top FROM y),
+v AS (SELECT *, count(*) OVER (PARTITION BY conv_id, top) AS n, row_number() OVER (PARTITION BY conv_id, top ORDER BY turn) - 1 AS i FROM z)
+SELECT conv_id, turn, CASE WHEN NOT item THEN 'block' WHEN n > 1 THEN 'list' ELSE 'paragraph' END AS kind,
+    CAST(top AS BIGINT) || CASE WHEN item AND n > 1 THEN ',' || i ELSE '' END AS ref FROM v""")
+def list_refs(spark, d):
+    x = _t(spark, d, "conversations").select("conv_id", "turn", "role", F.char_length("text").alias("n"))
+    placed = B.wrapped_lists(x, "conv_id", "turn", (F.col("role") == "user") | (F.col("n") % 3 > 0), F.floor(F.col("turn") / 8))
+    kept = placed.select("conv_id", "turn", "kind", "top", "sub")
+    return B.moved_refs(kept.select("conv_id", "turn", "kind"), kept, "conv_id", "turn")
+
+
+@_query("""WITH RECURSIVE c AS (SELECT DISTINCT l_partkey, l_linenumber AS page, l_orderkey % 40 AS number FROM lineitem),
+r AS (SELECT l_partkey, page, number, 1 AS n FROM c UNION SELECT c.l_partkey, c.page, c.number, r.n + 1 FROM r JOIN c ON c.l_partkey = r.l_partkey AND c.page > r.page AND c.number > r.number)
+SELECT l_partkey, CAST(max(n) AS BIGINT) AS n_labels FROM r GROUP BY l_partkey""")
+def page_label_chain(spark, d):
+    x = _t(spark, d, "lineitem").select("l_partkey", F.col("l_linenumber").alias("page"), (F.col("l_orderkey") % 40).alias("number"))
+    return B.rising_labels(x, "l_partkey").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_labels"))
+
+
+@_query("""WITH p AS (SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 2 = 0 OR o_orderstatus = 'F' THEN o_orderpriority END AS a, CASE WHEN o_custkey % 5 < 3 AND o_orderstatus = 'O' THEN o_orderstatus END AS b FROM orders)
+SELECT o_custkey, o_orderkey, CASE WHEN count(a) OVER w = count(*) OVER w THEN a WHEN count(b) OVER w > 0 THEN coalesce(b, '')
+    ELSE CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS VARCHAR) END AS label FROM p WINDOW w AS (PARTITION BY o_custkey)""")
+def page_labels(spark, d):
+    o = _t(spark, d, "orders")
+    catalog = F.when((F.col("o_custkey") % 2 == 0) | (F.col("o_orderstatus") == "F"), F.col("o_orderpriority"))
+    inferred = F.when((F.col("o_custkey") % 5 < 3) & (F.col("o_orderstatus") == "O"), F.col("o_orderstatus"))
+    x = o.select("o_custkey", F.col("o_orderkey").alias("page"), catalog.alias("catalog"), inferred.alias("inferred"))
+    return B.chosen_labels(x, "o_custkey").withColumnRenamed("page", "o_orderkey")
+
+
+@_query(r"""WITH x AS (SELECT l_orderkey, l_linenumber, 'see [' || l_linenumber || ',' || (l_partkey % 90) || '-' || (l_suppkey + 90) || '] or (' || l_suppkey || ') not (' || l_suppkey || 'a)' AS t FROM lineitem),
+m AS (SELECT l_orderkey, l_linenumber, unnest(regexp_extract_all(t, '\[[0-9,-]+\]|\([0-9,-]+\)')) AS mark, unnest([0, 1]) AS place FROM x)
+SELECT *, array_to_string(regexp_extract_all(mark, '[0-9]+'), ' ') AS numbers, strpos(mark, '-') > 0 AS is_range FROM m""")
+def numeric_citations(spark, d):
+    n = lambda c: F.expr(f"cast({c} as string)")
+    text = F.concat(F.lit("see ["), n("l_linenumber"), F.lit(","), n("l_partkey % 90"), F.lit("-"), n("l_suppkey + 90"), F.lit("] or ("), n("l_suppkey"), F.lit(") not ("), n("l_suppkey"), F.lit("a)"))
+    x = B.numeric_citations(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t")), "t")
+    return x.withColumn("numbers", F.array_join(F.col("numbers").cast("array<string>"), " "))
+
+
+@_query("""SELECT page_id AS doc_id, 'OEBPS/text/' || page_id || '.xhtml' AS href, CAST(1 AS INTEGER) AS n_spine, url AS title,
+    trim(regexp_replace(regexp_extract(html, '<title>([^<&]*)</title>', 1), '\\s+', ' ', 'g')) AS label FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')""")
+def epub_packages(spark, d):
+    """Each page packed into an EPUB file and read back: spine, table of contents, title."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    books = E.packed(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), title.alias("label"), "html").filter(~F.contains(F.col("label"), F.lit("&"))))
+    x = E.packages(books).groupBy("doc_id")
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    return x.agg(pick("toc", "href").alias("href"), F.count_if(F.col("kind") == "spine").cast("int").alias("n_spine"), pick("metadata", "label").alias("title"), pick("toc", "label").alias("label"))

@@ -144,3 +144,25 @@ def packages(books: DataFrame) -> DataFrame:
             yield out.astype({c: "Int64" for c in ("doc_id", "ord", "parent", "depth")} | {"linear": "boolean"})
 
     return books.select("doc_id", "bytes").mapInPandas(run, SCHEMA)
+
+
+def packed(pages: DataFrame) -> DataFrame:
+    """doc_id, bytes: an EPUB file of one section for each row of doc_id, title, label (of its entry in the contents), html."""
+    from xml.sax.saxutils import escape
+
+    def pack(doc_id, title, label, html) -> bytes:
+        place, raw = f"text/{doc_id}.xhtml", io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip")
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>')
+            z.writestr("OEBPS/book.opf", f'<package><metadata><dc:title>{escape(title or "")}</dc:title></metadata><manifest><item id="s" href="{place}" media-type="application/xhtml+xml"/>'
+                       '<item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest><spine><itemref idref="s"/></spine></package>')
+            z.writestr("OEBPS/nav.xhtml", f'<html><body><nav epub:type="toc"><ol><li><a href="{place}">{escape(label or "")}</a></li></ol></nav></body></html>')
+            z.writestr(f"OEBPS/{place}", html or "")
+        return raw.getvalue()
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f.doc_id, "bytes": [pack(*x) for x in zip(f.doc_id, f.title, f.label, f.html, strict=True)]})
+
+    return pages.select("doc_id", "title", "label", "html").mapInPandas(run, "doc_id long, bytes binary")
