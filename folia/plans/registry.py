@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from folia.functions import scalars as S
 from folia.operators import annotations as A
+from folia.operators import article as AR
+from folia.operators import blocks as BL
 from folia.operators import books as B
 from folia.operators import dom
 from folia.operators import references as R
@@ -104,6 +106,28 @@ def page_dom_index(spark, d):
     return x.select("page_id", "pre", "last_pre", "parent", "depth", "tag", "text_start", "nth_of_type", "last_of_type")
 
 
+@_query()
+def page_blocks(spark, d):
+    """The block tree of every page's article."""
+    return BL.page_blocks(_t(spark, d, "pages"))
+
+
+@_query()
+def page_article_elements(spark, d):
+    return AR.article_elements(_t(spark, d, "pages"))
+
+
+@_query("SELECT page_id, CAST(1 AS INTEGER) AS level, replace(replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, CAST(NULL AS INTEGER) AS parent FROM pages")
+def page_outline(spark, d):
+    """Headings of every page's article; the twin knows that a page has one."""
+    return BL.outline(BL.page_blocks(_t(spark, d, "pages"))).drop("block")
+
+
+@_query()
+def page_block_text(spark, d):
+    return BL.full_text(BL.page_blocks(_t(spark, d, "pages")))
+
+
 # Text layer
 
 
