@@ -117,7 +117,7 @@ def page_article_elements(spark, d):
     return AR.article_elements(_t(spark, d, "pages"))
 
 
-@_query("SELECT page_id, CAST(1 AS INTEGER) AS level, replace(replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, CAST(NULL AS INTEGER) AS parent FROM pages")
+@_query("SELECT page_id, CAST(1 AS INTEGER) AS level, replace(replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title, CAST(NULL AS INTEGER) AS parent FROM pages")
 def page_outline(spark, d):
     """Headings of every page's article; the twin knows that a page has one."""
     return BL.outline(BL.page_blocks(_t(spark, d, "pages"))).drop("block")
