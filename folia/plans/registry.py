@@ -12,7 +12,9 @@ from folia.operators import annotations as A
 from folia.operators import article as AR
 from folia.operators import blocks as BL
 from folia.operators import books as B
+from folia.operators import citations as C
 from folia.operators import dom
+from folia.operators import outline as O
 from folia.operators import references as R
 from folia.operators import sequences as Q
 from folia.operators import text_layer as T
@@ -117,7 +119,7 @@ def page_article_elements(spark, d):
     return AR.article_elements(_t(spark, d, "pages"))
 
 
-@_query("SELECT page_id, CAST(1 AS INTEGER) AS level, replace(replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title, CAST(NULL AS INTEGER) AS parent FROM pages")
+@_query("SELECT * FROM (SELECT page_id, CAST(1 AS INTEGER) AS level, replace(replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title, CAST(NULL AS INTEGER) AS parent FROM pages) WHERE title <> ''")
 def page_outline(spark, d):
     """Headings of every page's article; the twin knows that a page has one."""
     return BL.outline(BL.page_blocks(_t(spark, d, "pages"))).drop("block")
@@ -471,3 +473,72 @@ def epub_packages(spark, d):
     x = E.packages(books).groupBy("doc_id")
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     return x.agg(pick("toc", "href").alias("href"), F.count_if(F.col("kind") == "spine").cast("int").alias("n_spine"), pick("metadata", "label").alias("title"), pick("toc", "label").alias("label"))
+
+
+# Citations in running text and outlines from headings
+
+
+@_query("""WITH {LINES}, w AS (SELECT doc_id, line_no, string_split(line, ' ') AS ws FROM lines), x AS (SELECT doc_id, line_no, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
+SELECT doc_id, line_no, CAST(coalesce(list_sum(list_transform(ws[1:i - 1], lambda y: length(y) + 1)), 0) AS BIGINT) AS start, CAST(coalesce(list_sum(list_transform(ws[1:i - 1], lambda y: length(y) + 1)), 0) + length(ws[i]) - 1 AS BIGINT) AS "end", ws[i] AS word
+FROM x WHERE ws[i] <> ''""")
+def word_offsets(spark, d):
+    return C.words(_lines(spark, d), ["doc_id", "line_no"], "line")
+
+
+_ITEMS = """i AS (SELECT o_custkey AS doc_id, o_orderkey AS reference, 'Ref' || (o_orderkey % 50) AS name, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders),
+b AS (SELECT o_custkey AS doc_id, o_orderkey AS block, 'Ref' || (o_orderkey % 50) AS name, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders WHERE o_orderstatus = 'F')"""
+
+
+def _name_year_marks(spark, d):
+    o = _t(spark, d, "orders")
+    name, year = F.concat(F.lit("Ref"), (F.col("o_orderkey") % 50).cast("string")), F.year("o_orderdate").cast("string")
+    items = o.select(F.col("o_custkey").alias("list"), F.lit(10**12).alias("list_block"), F.col("o_orderkey").alias("reference"), F.concat(name, F.lit(", "), year).alias("text"))
+    index = C.reference_index(items, spark.createDataFrame([], "word string"), 2025).withColumn("doc_id", F.col("list"))
+    blocks = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("block"), F.concat_ws(" ", name, year).alias("text"))
+    return C.name_year_marks(blocks, index, 2025)
+
+
+@_query("WITH " + _ITEMS + """ SELECT b.doc_id, b.block, CAST(0 AS BIGINT) AS start, CAST(length(b.name) - 1 AS BIGINT) AS "end", b.name AS word, 'name' AS kind, i.doc_id AS list, i.reference, CAST(0 AS INTEGER) AS "at" FROM b JOIN i ON b.doc_id = i.doc_id AND b.name = i.name
+UNION ALL SELECT b.doc_id, b.block, length(b.name) + 1, length(b.name) + 4, b.y, 'year', i.doc_id, i.reference, 1 FROM b JOIN i ON b.doc_id = i.doc_id AND b.y = i.y""")
+def name_year_citations(spark, d):
+    return _name_year_marks(spark, d)
+
+
+@_query("WITH " + _ITEMS + """ SELECT b.doc_id, b.block, i.doc_id AS list, CAST(0 AS BIGINT) AS start, i.reference, CASE WHEN i.y = b.y THEN b.y END AS year FROM b JOIN i ON b.doc_id = i.doc_id AND b.name = i.name""")
+def names_with_years(spark, d):
+    return C.names_with_years(_name_year_marks(spark, d)).select("doc_id", "block", "list", "start", "reference", F.get("years", F.lit(0)).alias("year"))
+
+
+@_query("""WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 1000 AS VARCHAR) AS a, CAST(o_custkey % 100 AS VARCHAR) AS b FROM orders)
+SELECT o_orderkey, CAST(3 AS BIGINT) AS start, CAST(3 + length(a) + length(b) AS BIGINT) AS "end", a AS mark, CAST(a AS INTEGER) AS number FROM o UNION ALL SELECT o_orderkey, 3, 3 + length(a) + length(b), b, CAST(b AS INTEGER) FROM o""")
+def superscript_citations(spark, d):
+    o = _t(spark, d, "orders")
+    mark = F.concat_ws(",", (F.col("o_orderkey") % 1000).cast("string"), (F.col("o_custkey") % 100).cast("string"))
+    spans = o.select("o_orderkey", F.lit(0).alias("place"), F.lit("As ").alias("text"), F.lit(False).alias("sup")).unionByName(o.select("o_orderkey", F.lit(1).alias("place"), mark.alias("text"), F.lit(True).alias("sup")))
+    return C.superscript_marks(spans, ["o_orderkey"]).select("o_orderkey", "start", "end", "mark", F.get("numbers", F.lit(0)).alias("number"))
+
+
+@_query("""WITH t AS (SELECT p_size % 7 AS doc_id, p_partkey AS block, CAST(p_size AS VARCHAR) AS n FROM part), c AS (SELECT doc_id, n, min(block) AS caption FROM t GROUP BY ALL)
+SELECT doc_id, block, CAST(4 AS BIGINT) AS start, CAST(10 + length(n) AS BIGINT) AS "end", 'figure' AS label, n AS number, caption FROM t JOIN c USING (doc_id, n)""")
+def figure_citations(spark, d):
+    t = _t(spark, d, "part").select((F.col("p_size") % 7).alias("doc_id"), F.col("p_partkey").alias("block"), F.col("p_size").cast("string").alias("number"))
+    captions = t.select("doc_id", F.lit("figure").alias("label"), "number", F.col("block").alias("caption"))
+    return C.figure_marks(t.select("doc_id", "block", F.concat(F.lit("see (Fig. "), "number", F.lit(")")).alias("text")), captions)
+
+
+@_query("""WITH h AS (SELECT p_partkey % 50 AS doc_id, 'F' || (p_size % 4) || '|' || (10 + p_size % 3) || '.0|false' AS style, 1 + p_size % 2 * (p_size % 3) AS n FROM part)
+SELECT doc_id, style, CAST(min(n) AS INTEGER) AS depth FROM h GROUP BY ALL HAVING min(n) = max(n)""")
+def heading_style_depths(spark, d):
+    p = F.col("p_size")
+    n = (1 + p % 2 * (p % 3)).cast("int")
+    title = F.concat(F.array_join(F.array_repeat(F.lit("3"), n), "."), F.lit(" some words in lower case"))
+    h = _t(spark, d, "part").select((F.col("p_partkey") % 50).alias("doc_id"), O.style(F.concat(F.lit("ABC+F"), (p % 4).cast("string")), 10 + p % 3, title).alias("style"), O.number_parts(title).alias("parts"))
+    return O.style_depths(h, spark.createDataFrame([], "doc_id long, style string, depth int"), "doc_id")
+
+
+@_query()
+def heading_outline(spark, d):
+    """Outlines of the documents' short lines, their lengths standing in for font sizes."""
+    h = _lines(spark, d).filter(F.char_length("line").between(1, 60))
+    h = h.select("doc_id", F.col("line_no").cast("long").alias("block"), F.col("page_index").alias("page"), (-F.col("line_no").cast("double")).alias("y"), F.col("line").alias("title"), F.lit("F").alias("font"), (8 + F.char_length("line") % 3).cast("double").alias("size"))
+    return O.heading_outline(h, spark.createDataFrame([], "doc_id long, style string, depth int"), "doc_id")
