@@ -30,6 +30,7 @@ TYPES = dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6"], "heading") | {
 }
 STYLES = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "cite": "italic", "sup": "sup", "sub": "sub", "code": "monospace", "tt": "monospace", "kbd": "monospace", "samp": "monospace"}
 PASS_THROUGH = {"div", "section", "article", "main", "header", "footer", "nav", "span", "small", "u", "mark", "abbr", "dfn", "var", "q", "ruby", "rt", "rp", "bdi", "bdo", "wbr", "time", "data"}
+NOTE_TYPES = {"footnote", "rearnote", "note", "endnote"}
 _ADDRESS = re.compile(r"(https?|file|data):", re.I)
 _PICTURE = re.compile(r".*\.(png|jpe?g|gif|svg|webp|bmp|tiff?|avif)", re.I | re.S)
 
@@ -37,6 +38,10 @@ SPAN = "struct<text:string,styles:array<string>,url:string,stream:int,deltas:arr
 SCHEMA = f"page_id long, block_no int, ref array<int>, type string, tag string, pre int, level int, ordered boolean, start_index int, header boolean, colspan int, rowspan int, selector string, text string, spans array<{SPAN}>"
 
 
+def book_type(attrs: dict) -> list[str]:
+    return (attrs.get("epub:type") or attrs.get("type") or "").split()
+
+
 def picture_text(attrs: dict) -> str:
     """The label of an image, else its alternative text unless that is a path."""
     label, alt = attrs.get("aria-label", "").strip(BLANK), attrs.get("alt", "").strip(BLANK)
@@ -107,6 +112,7 @@ class Block:
     node: int
     content: list = field(default_factory=list)  # blocks, or spans
     facts: dict = field(default_factory=dict)
+    end: int | None = None  # the last node of a list's part that a note cuts off
 
 
 @dataclass
@@ -119,8 +125,11 @@ class Span:
 
 
 class Converter:
-    def __init__(self, page: PageIndex, kept: set[int] | None = None):
-        self.page, self.kept = page, kept
+    def __init__(self, page: PageIndex, kept: set[int] | None = None, notes: bool = False):
+        """notes: whether elements marked as notes become note blocks, as in books."""
+        self.page, self.kept, self.notes = page, kept, notes
+        self.seen: set[int] = set()  # elements that the conversion came to
+        self.links: list[tuple[int, str]] = []  # those with a link inside the book
         self.stream, at, hidden = {}, 0, -1
         for k in range(0 if page.body is None else page.body, len(page.tag)):
             if page.tag[k] == "template":
@@ -130,7 +139,13 @@ class Converter:
                 at += units(page.text[k])
 
     def included(self, k: int) -> bool:
-        return self.page.tag[k] not in {"script", "style"} and (self.kept is None or k in self.kept)
+        ok = self.page.tag[k] not in {"script", "style"} and (self.kept is None or k in self.kept)
+        if ok:
+            self.seen.add(k)
+        return ok
+
+    def is_note(self, k: int) -> bool:
+        return self.notes and not NOTE_TYPES.isdisjoint(book_type(self.page.attrs[k]))
 
     def has_blocks(self, k: int) -> bool:
         p = self.page
@@ -149,6 +164,9 @@ class Converter:
             return
         if not self.included(k):
             return
+        if self.is_note(k):
+            yield from self.filled("note", k)
+            return
         kind = TYPES.get(tag)
         if kind in {"heading", "paragraph", "caption", "preformatted"}:
             yield Block(kind, k, self.inline(k, kind == "preformatted"), {"level": int(tag[1])} if kind == "heading" else {})
@@ -181,12 +199,25 @@ class Converter:
             yield Block(kind, k, content)
 
     def listing(self, k: int, tag: str) -> Iterator[Block]:
-        items = [i for c in self.page.elements_in(k) if self.page.tag[c] == "li" for i in self.filled("listitem", c)]
-        facts = {"ordered": True} if tag == "ol" else {}
-        if tag == "ol" and (first := whole_number(self.page.attrs[k].get("start"))) > 1:
-            facts["start_index"] = first
-        if items:
-            yield Block("list", k, items, facts)
+        """A list; notes among its items stand between the parts of it."""
+        p, facts = self.page, {"ordered": True} if tag == "ol" else {}
+        first = whole_number(p.attrs[k].get("start"))
+        part = Block("list", k, [], facts | ({"start_index": first} if tag == "ol" and first > 1 else {}))
+        for c in p.elements_in(k):
+            if p.tag[c] != "li":
+                continue
+            self.seen.add(c)
+            if self.is_note(c):
+                if part.content:
+                    part.end = part_end
+                    yield part
+                    part = Block("list", k, [], facts)
+                yield from self.filled("note", c)
+            else:
+                part.content += self.filled("listitem", c)
+                part_end = p.last[c]
+        if part.content:
+            yield part
 
     def lines(self, k: int) -> Iterator[Block]:
         p = self.page
@@ -225,6 +256,9 @@ class Converter:
                     yield Span(label, url=url)
             elif tag == "a" and re.match("https?://", p.attrs[c].get("href", "")):
                 yield from self.pieces(c, exact, styles, url or p.attrs[c]["href"])
+            elif tag == "a" and p.attrs[c].get("href"):
+                self.links.append((c, p.attrs[c]["href"]))
+                yield from self.pieces(c, exact, styles, url)
             elif tag in STYLES:
                 yield from self.pieces(c, exact, tuple(sorted({*styles, STYLES[tag]})), url)
             elif tag not in TYPES:

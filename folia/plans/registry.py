@@ -19,6 +19,7 @@ from folia.operators import references as R
 from folia.operators import sequences as Q
 from folia.operators import text_layer as T
 from folia.sources import epub as E
+from folia.sources import sections as X
 from folia.sources.html import dom_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -548,3 +549,25 @@ def heading_outline(spark, d):
     h = _lines(spark, d).filter(F.char_length("line").between(1, 60))
     h = h.select("doc_id", F.col("line_no").cast("long").alias("block"), F.col("page_index").alias("page"), (-F.col("line_no").cast("double")).alias("y"), F.col("line").alias("title"), F.lit("F").alias("font"), (8 + F.char_length("line") % 3).cast("double").alias("size"))
     return O.heading_outline(h, spark.createDataFrame([], "doc_id long, style string, depth int"), "doc_id")
+
+
+# Sections of books
+
+
+@_query("""SELECT page_id AS doc_id, CAST(0 AS BIGINT) AS ord, trim(regexp_replace(regexp_extract(html, '<title>([^<&]*)</title>', 1), '\\s+', ' ', 'g')) AS label, CAST(0 AS BIGINT) AS place
+FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')""")
+def epub_contents_places(spark, d):
+    """Each page packed into an EPUB file: the block that its entry in the contents leads to."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    books = E.packed(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), title.alias("label"), "html").filter(~F.contains(F.col("label"), F.lit("&"))))
+    return X.contents_places(E.packages(books), X.sections(books)).select("doc_id", F.col("ord").cast("long").alias("ord"), "label", "place")
+
+
+@_query("""SELECT doc_id, CAST(j - 1 AS BIGINT) AS source, CAST(n + j - 1 AS BIGINT) AS target FROM (SELECT s_suppkey AS doc_id, s_suppkey % 3 + 1 AS n, unnest(range(1, s_suppkey % 3 + 2)) AS j FROM supplier)""")
+def epub_note_links(spark, d):
+    """Books of one to three paragraphs, each with a note behind them."""
+    j = F.sequence(F.lit(1), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    piece = lambda form: F.array_join(F.transform(j, lambda x: F.format_string(form, x)), "")
+    html = F.concat(F.lit("<html><body>"), piece('<p>Text<a href="#n%1$d">%1$d</a></p>'), piece('<aside id="n%1$d" epub:type="footnote">Note</aside>'), F.lit("</body></html>"))
+    books = E.packed(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("title"), F.col("s_name").alias("label"), html.alias("html")))
+    return X.note_links(X.sections(books)).drop("back")

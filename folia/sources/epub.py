@@ -140,8 +140,8 @@ def packages(books: DataFrame) -> DataFrame:
     def run(frames):
         for f in frames:
             rows = [{"doc_id": d} | x for d, raw in zip(f.doc_id, f.bytes, strict=True) for x in package(raw)]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            yield out.astype({c: "Int64" for c in ("doc_id", "ord", "parent", "depth")} | {"linear": "boolean"})
+            out = pd.DataFrame(rows, columns=COLUMNS, dtype=object)  # plain objects: a column without any value isn't a number
+            yield out.astype({c: "Int64" for c in ("doc_id", "ord", "parent", "depth")} | {"linear": "boolean"}).where(out.notna(), None)
 
     return books.select("doc_id", "bytes").mapInPandas(run, SCHEMA)
 
