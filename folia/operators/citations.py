@@ -134,3 +134,15 @@ def names_with_years(marks: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "block", "list", "start", "reference", "rank", "years"])
 
     return gathered.mapInPandas(run, "doc_id long, block long, list long, start long, reference long, rank int, years array<string>")
+
+
+def expanded(citations: DataFrame, references: DataFrame) -> DataFrame:
+    """A row per reference that a numeric citation stands for: doc_id, citation, list, reference. A single number names
+    its reference; a range all those of its list from the first end's place to the second's. citations: doc_id,
+    citation, list, low, high (null for a single number); references: doc_id, list, reference, number, place."""
+    key = ["doc_id", "list"]
+    at = references.filter("number is not null").groupBy(*key, "number").agg(F.min("place").alias("at"))
+    x = citations.join(at.withColumnsRenamed({"number": "low", "at": "from"}), [*key, "low"])
+    x = x.join(at.withColumnsRenamed({"number": "high", "at": "to"}), [*key, "high"], "left").filter("high is null or to is not null")
+    x = x.select(*key, "citation", F.explode(F.when(F.coalesce("to", "from") >= F.col("from"), F.sequence("from", F.coalesce("to", "from")))).alias("place"))
+    return x.join(references.select(*key, "reference", "place"), [*key, "place"]).select("doc_id", "citation", "list", "reference")

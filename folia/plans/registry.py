@@ -14,6 +14,7 @@ from folia.operators import blocks as BL
 from folia.operators import books as B
 from folia.operators import citations as C
 from folia.operators import dom
+from folia.operators import layout as L
 from folia.operators import outline as O
 from folia.operators import references as R
 from folia.operators import sequences as Q
@@ -571,3 +572,68 @@ def epub_note_links(spark, d):
     html = F.concat(F.lit("<html><body>"), piece('<p>Text<a href="#n%1$d">%1$d</a></p>'), piece('<aside id="n%1$d" epub:type="footnote">Note</aside>'), F.lit("</body></html>"))
     books = E.packed(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("title"), F.col("s_name").alias("label"), html.alias("html")))
     return X.note_links(X.sections(books)).drop("back")
+
+
+# Page layout
+
+
+@_query("""WITH {LINES}, f AS (SELECT doc_id, page_index, line_no, strpos(line, '|') > 0 AS mono FROM lines WHERE length(line) > 0),
+c AS (SELECT *, CASE WHEN lag(mono) OVER w IS NULL OR lag(mono) OVER w <> mono THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY line_no)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_index ORDER BY line_no) AS island FROM c)
+SELECT doc_id, page_index AS page, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines, 6.0::DOUBLE AS width, 1.0::DOUBLE AS grid_share FROM i WHERE mono GROUP BY doc_id, page_index, island HAVING count(*) >= 3""")
+def mono_grid_regions(spark, d):
+    """Characters in cells of 6 points, those of lines with bars in a monospace font."""
+    x = _lines(spark, d).filter(F.char_length("line") > 0)
+    chars = x.select("doc_id", F.col("page_index").alias("page"), F.col("line_no").alias("line"), (F.instr("line", "|") > 0).alias("mono"), F.posexplode(F.split("line", "")).alias("ord", "c"))
+    return L.mono_grid_regions(chars.withColumn("x1", 72.0 + 6 * F.col("ord")).withColumn("x2", 78.0 + 6 * F.col("ord")))
+
+
+#: Line numbers repeat in the table, so an order's lines are numbered anew.
+_NUMBERED = "li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS n FROM lineitem)"
+
+
+def _numbered(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")
+    return _t(spark, d, "lineitem").select("*", F.row_number().over(w).alias("n"))
+
+
+@_query("WITH " + _NUMBERED + """, b AS (SELECT l_orderkey AS doc_id, n, l_returnflag AS type, o_orderstatus = 'F' AS cut FROM li JOIN orders ON l_orderkey = o_orderkey)
+SELECT doc_id, CAST(0 AS INTEGER) AS page, CAST(n * 10 AS INTEGER) AS start, CAST(n * 10 + 9 AS INTEGER) AS "end", type FROM b WHERE NOT cut OR n > 2
+UNION ALL SELECT doc_id, 0, 10, 12, type FROM b WHERE cut AND n = 1 UNION ALL SELECT DISTINCT doc_id, 0, 13, 27, 'preformatted' FROM b WHERE cut UNION ALL SELECT doc_id, 0, 28, 29, type FROM b WHERE cut AND n = 2""")
+def region_overlay(spark, d):
+    """Order lines as blocks of ten characters, a region from 13 to 27 in finished orders."""
+    n = F.col("n")
+    page = F.lit(0).alias("page")
+    blocks = _numbered(spark, d).select(F.col("l_orderkey").alias("doc_id"), page, (n * 10).alias("start"), (n * 10 + 9).alias("end"), F.col("l_returnflag").alias("type"))
+    regions = _t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"), page, F.lit(13).alias("start"), F.lit(27).alias("end"))
+    return L.overlaid(blocks, regions)
+
+
+@_query("WITH " + _NUMBERED + """, x AS (SELECT l_orderkey AS doc_id, CAST(n AS INTEGER) AS line, l_returnflag AS base, CASE WHEN l_quantity > 10 AND lag(l_returnflag) OVER w = l_returnflag THEN 0 ELSE 1 END AS new FROM li WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)),
+y AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS block FROM x)
+SELECT doc_id, CAST(0 AS INTEGER) AS page, CAST(block AS BIGINT) AS block, base, min(line) AS first_line, max(line) AS last_line, count(*) AS n_lines FROM y GROUP BY doc_id, block, base""")
+def label_blocks(spark, d):
+    return L.label_blocks(_numbered(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("n").alias("line"), F.col("l_returnflag").alias("base"), (F.col("l_quantity") > 10).alias("continues")))
+
+
+@_query()
+def best_line_labels(spark, d):
+    """Two labels, of short and long lines, with a price on changing."""
+    n = F.char_length("line").cast("double")
+    rows = _lines(spark, d).select("doc_id", F.col("page_index").alias("page"), F.col("line_no").alias("line"), F.array(-n / 40, n / 40 - 2).alias("scores"))
+    return L.best_labels(rows, [[0.0, -1.0], [-1.0, 0.0]], [0.0, -0.5], [0.0, 0.0])
+
+
+@_query("WITH " + _NUMBERED + """, r AS (SELECT l_orderkey AS doc_id, n, l_partkey AS reference FROM li),
+c AS (SELECT o_orderkey AS doc_id, 1 + o_orderkey % 3 AS low, CASE WHEN o_custkey % 2 = 0 THEN 2 + o_orderkey % 4 END AS high FROM orders),
+k AS (SELECT c.* FROM c JOIN r a ON a.doc_id = c.doc_id AND a.n = c.low LEFT JOIN r b ON b.doc_id = c.doc_id AND b.n = c.high WHERE c.high IS NULL OR b.n IS NOT NULL)
+SELECT k.doc_id, k.low AS citation, CAST(0 AS INTEGER) AS list, r.reference FROM k JOIN r ON r.doc_id = k.doc_id AND r.n BETWEEN k.low AND coalesce(k.high, k.low)""")
+def numeric_citation_targets(spark, d):
+    key = F.col("o_orderkey")
+    low = 1 + key % 3
+    c = _t(spark, d, "orders").select(key.alias("doc_id"), low.alias("citation"), F.lit(0).alias("list"), low.alias("low"), F.when(F.col("o_custkey") % 2 == 0, 2 + key % 4).alias("high"))
+    n = F.col("n")
+    r = _numbered(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("list"), F.col("l_partkey").alias("reference"), n.cast("long").alias("number"), n.cast("long").alias("place"))
+    return C.expanded(c, r)
