@@ -14,13 +14,14 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.operators.article import article
-from folia.sources.html import tree
+from folia.sources.html import ROWS_A_FRAME, tree
 from folia.sources.page_index import BLANK, BLANKS, PageIndex, units
 
 # Block types, styles and pass-through elements.
@@ -335,16 +336,10 @@ def page_blocks(pages: DataFrame, filtered: bool = True) -> DataFrame:
     columns = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", SCHEMA)]
 
     def run(frames):
-        for f in frames:
-            for page_id, html in zip(f.page_id, f.html, strict=True):
-                rows = block_rows(html, filtered)
-                if rows:
-                    out = pd.DataFrame([[page_id, n, *(r.get(c) for c in columns[2:])] for n, r in enumerate(rows)], columns=columns)
-                    for c in ("level", "start_index", "colspan", "rowspan"):
-                        out[c] = out[c].astype("Int32")
-                    for c in ("ordered", "header"):
-                        out[c] = out[c].astype("boolean")
-                    yield out
+        rows = ([page_id, n, *(r.get(c) for c in columns[2:])] for f in frames for page_id, html in zip(f.page_id, f.html, strict=True) for n, r in enumerate(block_rows(html, filtered)))
+        while part := list(islice(rows, ROWS_A_FRAME)):
+            out = pd.DataFrame(part, columns=columns, dtype=object)
+            yield out.astype(dict.fromkeys(["page_id", "block_no", "pre", "level", "start_index", "colspan", "rowspan"], "Int64") | dict.fromkeys(["ordered", "header"], "boolean"))
 
     return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
 

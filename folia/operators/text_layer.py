@@ -46,8 +46,8 @@ def full_text(rows: DataFrame, pages: Column) -> DataFrame:
 
 def regular_words(all_words: DataFrame) -> DataFrame:
     """Distinct words that are seen wholly in lower case and hold a letter with case."""
-    w = F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "")
-    return all_words.select(w.alias("word")).filter((F.col("word") == F.lower("word")) & (F.upper("word") != F.lower("word"))).distinct()
+    w = F.regexp_extract("word", r"(?s)\p{L}(?:.*\p{L})?", 0)  # from the first letter to the last
+    return all_words.select("word").distinct().select(w.alias("word")).filter((F.col("word") == F.lower("word")) & (F.upper("word") != F.lower("word"))).distinct()
 
 
 def gap_features(boxes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: Rows that are sent on at once: many small pages share a frame, a long page takes several.
+ROWS_A_FRAME = 20_000
+
 SCHEMA = "page_id long, pre int, last_pre int, parent int, depth int, kind string, tag string, attrs map<string,string>, text string"
 
 
@@ -68,12 +72,8 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
     """A row per element and text node of every page."""
 
     def run(frames):
-        for f in frames:
-            for page_id, html in zip(f.page_id, f.html, strict=True):
-                rows = tree(html)
-                if rows:
-                    out = pd.DataFrame(rows, columns=["pre", "last_pre", "parent", "depth", "kind", "tag", "attrs", "text"])
-                    out.insert(0, "page_id", page_id)
-                    yield out
+        rows = ([page_id, *r] for f in frames for page_id, html in zip(f.page_id, f.html, strict=True) for r in tree(html))
+        while part := list(islice(rows, ROWS_A_FRAME)):
+            yield pd.DataFrame(part, columns=["page_id", "pre", "last_pre", "parent", "depth", "kind", "tag", "attrs", "text"])
 
     return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
