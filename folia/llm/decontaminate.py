@@ -12,8 +12,12 @@ of unequal tokens as the window allows. Shorter items can't be told from chance
 Positions are generated, hashed and probed in one generated-code stage: no position is shuffled as long as the
 benchmark's seeds fit the checked broadcast bound; beyond it Spark joins by shuffle.
 
-Edge cases. Null or empty texts match nothing. A null doc_id is reported as null, a null item_id as null. Repeated
-rows report once. Empty tables give no rows. Other columns are ignored.
+Every diagonal is verified: hits are grouped by the operator's own row numbers of document and item and by the signed
+start, so neither rows that share an id nor starts before a document's first token stand for one another.
+
+Edge cases. Null or empty texts match nothing. A null doc_id is reported as null, a null item_id as null. Rows that
+share an id are compared apart and reported once, by their best diagonal. Empty tables give no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,31 +49,33 @@ def _seeds(toks: Column, at: Column) -> Column:
     return F.array(*out)
 
 
-def seed_table(texts: DataFrame, key: str) -> DataFrame:
-    """key, toks, at, seed: a row per mask and position."""
+def seed_table(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys, toks, at, seed: a row per mask and position."""
     shortest = min(map(len, MASKS))
-    toks = texts.select(F.col(key), tokens(F.col("text")).alias("toks"))
+    toks = texts.select(*keys, tokens(F.col("text")).alias("toks"))
     # no filter on the tokens: it would be pushed below and split every text twice
     at = F.when(F.size("toks") >= shortest, F.sequence(F.lit(0), F.size("toks") - shortest))
-    spots = toks.select(key, "toks", F.explode(at).alias("at"))
-    return spots.select(key, "toks", "at", F.explode(_seeds(F.col("toks"), F.col("at"))).alias("seed")).filter("seed is not null")
+    spots = toks.select(*keys, "toks", F.explode(at).alias("at"))
+    return spots.select(*keys, "toks", "at", F.explode(_seeds(F.col("toks"), F.col("at"))).alias("seed")).filter("seed is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: int = ENOUGH, shortest: int = SHORTEST) -> DataFrame:
-    """doc_id, item_id, matched (equal tokens on the best diagonal), aligned (tokens compared there),
-    best_window (most equal tokens in a window), doc_start (first document token of that diagonal)."""
-    items = benchmark.select("item_id", "text").filter(F.size(tokens(F.col("text"))) >= shortest)
-    seeds = seed_table(items, "item_id").select("item_id", F.col("toks").alias("item"), F.col("at").alias("item_at"), "seed")
+def _by_row(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...], window: int = WINDOW, enough: int = ENOUGH, shortest: int = SHORTEST) -> DataFrame:
+    """keys (columns of docs), item_id, matched, aligned, best_window, doc_start: a row per diagonal with an overlap."""
+    items = benchmark.select(F.monotonically_increasing_id().alias("item_row"), "item_id", "text").filter(F.size(tokens(F.col("text"))) >= shortest)
+    seeds = seed_table(items, "item_row", "item_id").select("item_row", "item_id", F.col("toks").alias("item"), F.col("at").alias("item_at"), "seed")
     if small_enough(seeds, MOST_BROADCAST_SEEDS):
         seeds = F.broadcast(seeds)
-    hits = seed_table(docs.select("doc_id", "text"), "doc_id").join(seeds, "seed")
+    numbered = docs.select(F.monotonically_increasing_id().alias("doc_row"), *keys, "text")
+    hits = seed_table(numbered, "doc_row", *keys).join(seeds, "seed")
     start = F.col("at") - F.col("item_at")
     first = F.greatest(start, F.lit(0))
+    # equal rows of a group have equal values: they are one diagonal of one document and item
     diagonals = hits.select(
-        "doc_id", "item_id", first.alias("doc_start"), F.size("item").alias("item_size"),
+        "doc_row", "item_row", start.alias("start"), *keys, "item_id", F.size("item").alias("item_size"),
         F.slice("toks", first + 1, F.size("item") + F.least(start, F.lit(0))).alias("a"),
         F.slice("item", first - start + 1, F.size("item")).alias("b"),
-    ).groupBy("doc_id", "item_id", "doc_start", "item_size").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    ).groupBy("doc_row", "item_row", "start").agg(*[F.first(c).alias(c) for c in (*keys, "item_id", "item_size", "a", "b")])
+    diagonals = diagonals.withColumn("doc_start", F.greatest("start", F.lit(0)))
     equal = lambda k: F.when(F.get("a", k) == F.get("b", k), 1).otherwise(0)
 
     def slide(state, k):
@@ -79,11 +85,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough
     nothing = F.struct(F.lit(0).alias("inside"), F.lit(0).alias("best"), F.lit(0).alias("total"))
     aligned = F.least(F.size("a"), F.size("b"))
     best = diagonals.select(
-        "doc_id", "item_id", "doc_start", aligned.alias("aligned"), F.least("item_size", F.lit(window)).alias("need"),
+        *keys, "item_id", "doc_start", aligned.alias("aligned"), F.least("item_size", F.lit(window)).alias("need"),
         F.aggregate(F.sequence(F.lit(0), aligned - 1), nothing, slide).alias("x"),
-    ).select("doc_id", "item_id", "doc_start", "aligned", "need", F.col("x.best").alias("best_window"), F.col("x.total").alias("matched"))
+    ).select(*keys, "item_id", "doc_start", "aligned", "need", F.col("x.best").alias("best_window"), F.col("x.total").alias("matched"))
+    return best.filter(F.col("best_window") >= F.ceil(F.col("need") * (enough / window))).drop("need")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """doc_id, item_id, matched (equal tokens on the best diagonal), aligned (tokens compared there),
+    best_window (most equal tokens in a window), doc_start (first document token of that diagonal)."""
     return (
-        best.filter(F.col("best_window") >= F.ceil(F.col("need") * (enough / window)))
+        _by_row(docs, benchmark, ("doc_id",), **kw)
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("matched", "aligned", "best_window", (-F.col("doc_start")).alias("back"))).alias("m"))
         .select("doc_id", "item_id", "m.matched", "m.aligned", "m.best_window", (-F.col("m.back")).alias("doc_start"))
@@ -91,9 +103,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents without an overlap; documents whose id is null stay, as nothing can be tied to them."""
-    bad = overlaps(docs, benchmark, **kw).select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents without an overlap. Rows that share an id are decided by their own texts; those whose id is null
+    stay."""
+    digest = "digest"
+    while digest in docs.columns:
+        digest += "_"
+    # the text's digest and not a row number: a number would have to be the same in two readings of docs
+    marked = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    bad = _by_row(marked.filter("doc_id is not null"), benchmark, ("doc_id", digest), **kw).select("doc_id", digest).distinct()
+    return marked.join(bad, ["doc_id", digest], "left_anti").drop(digest)
 
 
 def op4_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

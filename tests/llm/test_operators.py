@@ -134,6 +134,18 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.op4_decontamination(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_verifies_every_diagonal(spark):
+    a, b, c = ([f"{x}{k}" for k in range(n)] for x, n in (("a", 5), ("b", 5), ("c", 10)))
+    items = [(k, " ".join(order)) for k, order in enumerate([[*a, *b, *a, *c], [*a, *b, *a, *b, *a, *c], [*b, *a, *c, *b, *a]])]
+    bench = spark.createDataFrame([*items, (0, " ".join(f"n{k}" for k in range(25)))], "item_id long, text string").coalesce(1)
+    other = "nothing of it " * 9
+    docs = _docs(spark, [(30, " ".join([*a, *c]), "a"), (31, other, "a"), (31, " ".join([*a, *c]), "a"), (32, " ".join(f"n{k}" for k in range(25)), "a")])
+    docs = docs.coalesce(1)
+    got = {(r.doc_id, r.item_id): (r.matched, r.doc_start) for r in decontaminate.op4_decontamination(docs, bench).collect()}
+    assert got == {(d, i): (15, 0) for d in (30, 31) for i in (0, 1, 2)} | {(32, 0): (25, 0)}
+    assert [(r.doc_id, r.text) for r in decontaminate.clean(docs, bench).collect()] == [(31, other)]
+
+
 def test_warc(spark):
     big, rows = "<p>" + "x" * 2000, []
     rows = [(1, "u1", big), (5, "u5", big), (3, None, big), (None, "un", big), (7, "u7", "small"), (8, "u8", "small"), (9, "u\r\n9", None), (9, "again", None), (10, "é", "é" * 600), (11, "e", "é" * 600), (12, "t", big + "y"), (12, "t", big + "y")]
