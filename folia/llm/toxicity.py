@@ -5,10 +5,11 @@ words, hashed into a fixed number of buckets. The machine adds a weight per term
 inner product of their latent vectors, so that a pair can count for more or less than the sum of its parts.
 
 Fitting. Labelled documents come from at most MOST_PER_CLASS documents of each label (those with the smallest hash of
-their id); the bound makes the sample's size, and so the driver's part, the same at any scale. Buckets are kept
-that stand in at least LEAST_DOCS sample documents and whose likelihood ratio against the labels is at least
-LEAST_GAIN; the rest weigh nothing. Scoring reads
-every whole text.
+their id); the bound makes the sample's size, and so the driver's part, the same at any scale. Every bucket of the sample has a
+weight and a latent vector, so that terms which tell nothing alone can count as a pair. A term's value in a text is
+its scale, FLOOR for a term that alone says nothing about the labels and near 1 for one that says much (by its
+likelihood ratio), divided by the length of the text's vector of scales. For pairs the scales start from PAIR_FLOOR,
+as a term that says nothing alone can say much there. Scoring reads every whole text.
 
 Edge cases. Null and empty texts have no terms and get the bias alone. A document with several labels counts as toxic
 if one of them is. Null labels and null ids are left out of the fit. Without labelled rows of both kinds there is
@@ -32,10 +33,9 @@ from .common import crc_mod
 
 BUCKETS = 1 << 20
 MOST_PER_CLASS = 6000
-LEAST_DOCS = 4
-LEAST_GAIN = 16.0
-MOST_TERMS = 1 << 12
 FACTORS = 4
+FLOOR, PAIR_FLOOR = 0.03, 0.3
+HALF_GAIN = 16.0
 THRESHOLD = 0.7
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -55,72 +55,96 @@ def term_ids(text: str | None, cache: dict) -> set:
     return out
 
 
+def _values(scales: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Scales divided by the length of their text's vector. of: the text of each, one of n."""
+    length = np.sqrt(np.bincount(of, scales**2, minlength=n))
+    return scales / length[of]
+
+
 @dataclass
 class Machine:
-    """bias; terms: sorted buckets; weight and latent vectors in their order."""
+    """bias; terms: sorted buckets; scales, weight and latent vectors in their order."""
 
     bias: float
     terms: np.ndarray
+    scale: np.ndarray
+    pair_scale: np.ndarray
     weight: np.ndarray
     latent: np.ndarray
 
+    def places(self, buckets: np.ndarray) -> np.ndarray:
+        """Positions in terms of those of the buckets that are there."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, buckets), len(self.terms) - 1)
+        return at[self.terms[at] == buckets]
+
     def margins(self, rows: list[np.ndarray]) -> np.ndarray:
         """rows: positions in terms, one array for each text."""
-        return np.array([self.bias + self.weight[r].sum() + 0.5 * (self.latent[r].sum(0) ** 2 - (self.latent[r] ** 2).sum(0)).sum() if len(r) else self.bias for r in rows])
+        out = np.full(len(rows), self.bias)
+        for k, r in enumerate(rows):
+            if len(r):
+                x, z = (_values(of_term[r], np.zeros(len(r), np.int64), 1) for of_term in (self.scale, self.pair_scale))
+                vx = self.latent[r] * z[:, None]
+                out[k] += (self.weight[r] * x).sum() + 0.5 * (vx.sum(0) ** 2 - (vx**2).sum(0)).sum()
+        return out
+
+
+def _added(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The rows of values, summed by their place at."""
+    return np.stack([np.bincount(at, values[:, f], minlength=n) for f in range(values.shape[1])], axis=1)
+
+
+def gains(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Each term's likelihood ratio against the labels. pos, neg: its documents of each label."""
+    p, q, r = (pos + 0.5) / (n_pos + 1), (neg + 0.5) / (n_neg + 1), (pos + neg + 1) / (n_pos + n_neg + 2)
+    part = lambda k, of_n, x: k * np.log(x / r) + (of_n - k) * np.log((1 - x) / (1 - r))
+    return np.maximum(0, 2 * (part(pos, n_pos, p) + part(neg, n_neg, q)))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = 12) -> Machine:
     """Adagrad on the logistic loss. rows: distinct buckets of each text."""
     n, n_pos = len(rows), int(labels.sum())
-    none = Machine(-30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+    none = Machine(-30.0, np.zeros(0, np.int64), *[np.zeros(0)] * 3, np.zeros((0, FACTORS)))
     if not n_pos or n_pos == n:
         share = n_pos / n if n else 0.0
         none.bias = float(np.log(max(share, 1e-13)) - np.log(max(1 - share, 1e-13)))
         return none
-    flat = np.concatenate(rows)
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
-    pos = np.bincount(flat[labels[of] == 1], minlength=BUCKETS)
-    neg = np.bincount(flat[labels[of] == 0], minlength=BUCKETS)
-    p, q, r = (pos + 0.5) / (n_pos + 1), (neg + 0.5) / (n - n_pos + 1), (pos + neg + 1) / (n + 2)
-    r = np.clip(r, 1e-9, 1 - 1e-9)
-    part = lambda k, of_n, x: k * np.log(np.clip(x, 1e-12, 1) / r) + (of_n - k) * np.log(np.clip(1 - x, 1e-12, 1) / (1 - r))
-    gain = 2 * (part(pos, n_pos, np.minimum(p, 1 - 1e-9)) + part(neg, n - n_pos, np.minimum(q, 1 - 1e-9)))  # likelihood ratio
-    gain[((pos + neg) < LEAST_DOCS) | (gain < LEAST_GAIN)] = 0
-    terms = np.sort(np.argsort(-gain, kind="stable")[: min(MOST_TERMS, int((gain > 0).sum()))])
-    at = np.full(BUCKETS, -1, np.int64)
-    at[terms] = np.arange(len(terms))
-    flat_at = at[flat]
-    own = flat_at >= 0
-    starts = np.concatenate([[0], np.cumsum(np.bincount(of[own], minlength=n))])
-    cols = flat_at[own]
+    sizes = np.array([len(r) for r in rows])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    terms, cols = np.unique(np.concatenate(rows), return_inverse=True)
+    cols = cols.astype(np.int32)
+    of = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    pos = np.bincount(cols[labels[of] == 1], minlength=len(terms))
+    gain = gains(pos, np.bincount(cols, minlength=len(terms)) - pos, n_pos, n - n_pos)
+    scale, pair_scale = (least + (1 - least) * gain / (gain + HALF_GAIN) for least in (FLOOR, PAIR_FLOOR))
+    values, pair_values = _values(scale[cols], of, n), _values(pair_scale[cols], of, n)
 
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)), 0.0
-    gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), FACTORS), 1e-6), 1e-6
-    rate, l2, batch = 0.1, 2e-4, 64
+    # the sums of squares start high, else a rare term's first step would be as large as a frequent term's whole way
+    gw, gv, gb = np.full(len(terms), 10.0), np.full((len(terms), FACTORS), 1.0), 1e-6
+    rate, l2, batch = 5.0, 2e-4, 64
     class_weight = np.where(labels == 1, 0.5 * n / n_pos, 0.5 * n / (n - n_pos))
     for _ in range(epochs):
         for chunk in np.array_split(rng.permutation(n), max(1, n // batch)):
-            sizes = starts[chunk + 1] - starts[chunk]
-            c = np.concatenate([cols[starts[i] : starts[i + 1]] for i in chunk])
-            d = np.repeat(np.arange(len(chunk)), sizes)
-            summed = np.zeros((len(chunk), FACTORS))
-            np.add.at(summed, d, v[c])
-            squares = np.bincount(d, (v[c] ** 2).sum(1), minlength=len(chunk))
-            m = b + np.bincount(d, w[c], minlength=len(chunk)) + 0.5 * ((summed**2).sum(1) - squares)
-            g = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - labels[chunk]) * class_weight[chunk]
+            d = np.repeat(np.arange(len(chunk)), sizes[chunk])
+            c, x, z = (np.concatenate([all_[starts[i] : starts[i + 1]] for i in chunk]) for all_ in (cols, values, pair_values))
             u, inverse = np.unique(c, return_inverse=True)
-            dw = np.bincount(inverse, g[d], minlength=len(u)) + l2 * w[u]
-            dv = np.zeros((len(u), FACTORS))
-            np.add.at(dv, inverse, g[d][:, None] * (summed[d] - v[c]))
-            dv += l2 * v[u]
+            vx = v[c] * z[:, None]
+            summed = _added(d, vx, len(chunk))
+            squares = np.bincount(d, (vx**2).sum(1), minlength=len(chunk))
+            m = b + np.bincount(d, w[c] * x, minlength=len(chunk)) + 0.5 * ((summed**2).sum(1) - squares)
+            g = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - labels[chunk]) * class_weight[chunk]
+            dw = np.bincount(inverse, g[d] * x, minlength=len(u)) + l2 * w[u]
+            dv = _added(inverse, (g[d] * z)[:, None] * (summed[d] - vx), len(u)) + l2 * v[u]
             gw[u] += dw**2
             gv[u] += dv**2
             gb += g.sum() ** 2
             w[u] -= rate * dw / np.sqrt(gw[u])
             v[u] -= 0.3 * rate * dv / np.sqrt(gv[u])
-            b -= rate * g.sum() / np.sqrt(gb)
-    return Machine(float(b), terms, w, v)
+            b -= 0.1 * g.sum() / np.sqrt(gb)
+    return Machine(float(b), terms, scale, pair_scale, w, v)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> tuple[list[np.ndarray], np.ndarray]:
@@ -154,14 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, **kw) -> Machine:
 
 def scored(docs: DataFrame, machine: Machine, column: str = "toxicity") -> DataFrame:
     """docs with one more column, the probability that a text is toxic."""
-    at = {int(t): i for i, t in enumerate(machine.terms)}
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((at, machine))  # MOST_TERMS terms at most
+    sent = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS terms at most
 
     def score(texts: pd.Series) -> np.ndarray:
-        own, m = sent.value
-        cache = score_cache
-        rows = [np.fromiter(sorted(own[i] for i in term_ids(t, cache) if i in own), np.int64) for t in texts]
+        m = sent.value
+        rows = [m.places(np.sort(np.fromiter(term_ids(t, score_cache), np.int64))) for t in texts]
         return 1 / (1 + np.exp(-np.clip(m.margins(rows), -30, 30)))
 
     score_cache: dict = {}

@@ -385,6 +385,19 @@ def test_machine_learns_a_pair():
     assert m.latent.shape[1] == toxicity.FACTORS
 
 
+@pytest.mark.parametrize("noise", [3, 40])
+def test_machine_tells_held_out_pairs(noise):
+    rng = np.random.default_rng(8)
+    rows, y = [], []
+    for k in range(3000):
+        a, b = k % 2, k // 2 % 2
+        rows.append(np.array(sorted({10 * (a + 1), 1000 * (b + 1), *rng.integers(5000, 5400, noise).tolist()})))
+        y.append(int(a == b))
+    m, y = toxicity.fit(rows[:2000], np.array(y[:2000])), np.array(y[2000:])
+    told = m.margins([m.places(r) for r in rows[2000:]]) > 0
+    assert len(m.terms) == len(set(np.concatenate(rows[:2000]).tolist())) and (told == y).mean() > 0.95
+
+
 def _katz(rows):
     """Plain Katz bigrams over dictionaries."""
     held = {k: katz.is_held(i) for k, (i, _) in enumerate(rows)}
