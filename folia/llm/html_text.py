@@ -2,7 +2,7 @@
 
 Every page is read into lines, one per block. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments and hidden or non-text elements are dropped by element, role, class or id. Lines inside an article are
-the text. What stands elsewhere (pages without an article, or parts of <main> outside it) is open: there a page is
+the text. What stands elsewhere, within <main> where that holds any text, is open, on pages with an article too: there a page is
 paired with its nearest neighbours by URL path within the host, the line sequences are aligned by longest common
 subsequence, and open lines shared with a neighbour are deleted as template. Where that would leave no line at all the
 neighbour is a copy and not a template, and the lines stay.
@@ -88,7 +88,6 @@ def lines(html: str | None) -> list[tuple[str, int]]:
     dropping = 0  # length of the stack when the outermost dropped element opened, else 0
     buffer: list[str] = []
     articles = mains = 0
-    saw_main = False
     spots: list[bool] = []  # whether each line stands in <main>
 
     def end_line() -> None:
@@ -151,7 +150,6 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         stack.append(tag)
         articles += tag == "article"
         mains += tag == "main"
-        saw_main |= tag == "main"
         if not dropping and _unwanted(tag, m[3], articles > 0):
             dropping = len(stack)
         if tag == "body" and dropping and "head" in stack:
@@ -159,10 +157,8 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             stack.append("body")
             dropping = 0
     end_line()
-    if saw_main:
+    if any(spots):
         return [x for x, inside in zip(out, spots, strict=True) if inside]
-    if any(kind == ARTICLE for _, kind in out):
-        return [x for x in out if x[1] == ARTICLE]
     return out
 
 

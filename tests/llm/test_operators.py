@@ -308,6 +308,14 @@ def test_html(spark):
     assert len(got) == len(rows) and html_text.op8_html_text(pages.limit(0)).count() == 0
 
 
+def test_html_differences_lines_beside_an_article(spark):
+    page = "<article>Teaser %s</article><div>Follow us everywhere</div><div><p>Body of page %s, told at some length</p></div>"
+    rows = [(k, f"http://h/a/{k}", page % (k, k)) for k in range(6)] + [(9, "http://m/1", "<main><nav>n</nav></main><div>Beside</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.op8_html_text(pages).collect()}
+    assert got == {k: f"Teaser {k}\n\nBody of page {k}, told at some length" for k in range(6)} | {9: "Beside"}
+
+
 def test_common_lines_is_longest():
     rng = np.random.default_rng(2)
     for _ in range(200):
