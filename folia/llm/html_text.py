@@ -4,8 +4,10 @@ Every page is read into lines, one per block. Lines in menus, headers, footers,
 reader comments and hidden or non-text elements are dropped by element, role, class or id. Lines inside an article are
 the text. What stands elsewhere, within <main> where that holds any text, is open, on pages with an article too: there a page is
 paired with its nearest neighbours by URL path within the host, the line sequences are aligned by longest common
-subsequence, and open lines shared with a neighbour are deleted as template. Where that would leave no line at all the
-neighbour is a copy and not a template, and the lines stay.
+subsequence, and open lines shared with a neighbour are deleted as template if enough pages of the host have them that
+aren't copies: a page that shares COPY_SHARE of its characters with the page before it is a copy and doesn't count. A
+passage that a page shares with its copies, or with one other page of a larger host, stays. Where no line would be left
+at all the lines stay.
 
 Differencing alone would delete passages that two articles share and keep adverts and menus that differ from page to
 page, so it decides open lines only.
@@ -29,10 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stored
+from .common import broadcast_if, shuffle_width, stored
 
 # HTML's element kinds and the names that pages give to parts that aren't text.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "object", "math", "canvas", "audio", "video"}
+#: Of these, the kinds whose content is text up to an end tag; the others can close themselves or stay unclosed.
+RAW_TEXT = {"script", "style", "noscript", "iframe", "textarea", "title"}
+UNNESTED = {"audio", "video", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
@@ -46,6 +51,15 @@ DROPPED_NAMES = {
     "footer", "masthead", "comment", "comments", "commentlist", "disqus", "reply", "replies", "share", "sharing", "social", "related", "recommended",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "pagination", "pager", "widget", "toolbar", "skip",
 }
+#: Words that may stand beside one of these in a class or id: "top-ad" is an advert, "with-sidebar" is a layout.
+PLACES = {
+    "top", "bottom", "site", "page", "main", "global", "primary", "secondary", "box", "bar", "block", "container", "wrapper", "wrap", "slot", "unit",
+    "list", "item", "items", "link", "links", "area", "section", "panel", "post", "posts", "blog", "article", "articles", "user", "reader",
+}
+DROPPED_IN_TEXT = {"comment", "comments", "reply", "related", "sponsored", "advert"}
+#: Share of characters from which a page is a copy of the one before it; pages of a host that make a line a template.
+COPY_SHARE = 0.8
+LEAST_PAGES, MOST_PAGES = 2, 5
 #: Elements whose start closes an open <p>, and those that close an open one of their kind.
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
@@ -60,6 +74,16 @@ _NAME = re.compile(r"[A-Za-z]+")
 _BLANK = re.compile(r"\s+")
 
 ARTICLE, OPEN = 1, 0
+MOST_BROADCAST = 500_000
+
+
+def _named(value: str, names: set[str]) -> bool:
+    """Whether a class or id has a token made of names, and beside them of PLACES only."""
+    for token in value.split():
+        words = _NAME.findall(token)
+        if any(x in names for x in words) and all(x in names or x in PLACES for x in words):
+            return True
+    return False
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -71,9 +95,9 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), unescape("".join(values)).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in DROPPED_ROLES):
             return True
-        if name in ("class", "id") and tag not in ("article", "main") and any(x in DROPPED_NAMES for x in _NAME.findall(value)):
+        if name in ("class", "id") and tag not in ("article", "main") and _named(value, DROPPED_NAMES):
             return True
-        if name == "class" and tag in ("article", "main") and any(x in ("comment", "comments", "reply", "related", "sponsored", "advert") for x in _NAME.findall(value)):
+        if name == "class" and tag in ("article", "main") and _named(value, DROPPED_IN_TEXT):
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -142,8 +166,13 @@ def lines(html: str | None) -> list[tuple[str, int]]:
                     if not any(x in FENCES.get(tag, ()) for x in stack[n + 1 :]):
                         pop_to(n)
         if tag in RAW:
+            if tag not in RAW_TEXT and m[3].rstrip().endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if end is None:
+                at = len(html) if tag in RAW_TEXT else at
+            elif tag not in UNNESTED or not re.compile(rf"<{tag}[\s/>]", re.I).search(html, at, end.start()):
+                at = end.end()
             continue
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in ("p", "div", "article", "section", "a"):
             continue
@@ -216,32 +245,48 @@ def neighbours(keys: DataFrame) -> DataFrame:
     )
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, blocks (array of strings) for every row."""
-    read = stored(read_lines(pages), "page-lines")
-    sure = read.filter(~F.exists("kinds", lambda k: k == OPEN)).select("page_id", "url", F.col("lines").alias("blocks"))
-    unsure = read.filter(F.exists("kinds", lambda k: k == OPEN))
+def template_lines(read: DataFrame) -> DataFrame:
+    """row, template (hashes of the open lines that are template) for the rows that have any. read: of read_lines."""
     near = neighbours(read.select("row", "page_id", "host", "path"))
-    hashed = read.select("row", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    placed = unsure.select("row", "page_id", "url", "lines", "kinds").join(near, "row")
+    hashed = read.select("row", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", F.length).alias("sizes"))
+    unsure = read.filter(F.exists("kinds", lambda k: k == OPEN)).select("row", "host", "kinds")
+    placed = unsure.join(near, "row").join(hashed, "row")
+    total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
     for side in ("before", "after"):
-        placed = placed.join(hashed.select(F.col("row").alias(side), F.col("hashes").alias(f"{side}_hashes")), side, "left")
-    placed = placed.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+        other = hashed.select(F.col("row").alias(side), F.col("hashes").alias(f"{side}_hashes"), total("sizes").alias(f"{side}_size"))
+        placed = placed.join(other, side, "left")
 
-    def cut(frames):
+    def compare(frames):
         for f in frames:
-            blocks = []
-            for own, kinds, mine, *others in zip(f.lines, f.kinds, f.hashes, f.before_hashes, f.after_hashes, strict=True):
-                shared: set[int] = set()
-                for other in others:
-                    if other is not None:
-                        shared |= common_lines(list(mine), list(other))
-                left = [x for i, x in enumerate(own) if kinds[i] == ARTICLE or i not in shared]
-                blocks.append(left or list(own))
-            yield f[["page_id", "url"]].assign(blocks=blocks)
-
-    light = placed.select("page_id", "url", "lines", "kinds", "hashes", "before_hashes", "after_hashes")
-    return sure.unionByName(light.mapInPandas(cut, "page_id long, url string, blocks array<string>"))
+            out = []
+            for kinds, mine, sizes, before, before_size, after in zip(f.kinds, f.hashes, f.sizes, f.before_hashes, f.before_size, f.after_hashes, strict=True):
+                both = [set() if x is None else common_lines(list(mine), list(x)) for x in (before, after)]
+                copied = sum(sizes[i] for i in both[0])
+                head = before is None or copied < COPY_SHARE * max(sum(sizes), before_size)
+                is_open = [i for i, k in enumerate(kinds) if k == OPEN]
+                out.append((head, sorted({mine[i] for i in is_open}), sorted({mine[i] for i in is_open if i in both[0] or i in both[1]})))
+            yield f[["row", "host"]].assign(**{c: [x[k] for x in out] for k, c in enumerate(("head", "open", "shared"))})
+
+    light = placed.select("row", "host", "kinds", "hashes", "sizes", "before_hashes", "before_size", "after_hashes")
+    compared = stored(light.mapInPandas(compare, "row long, host string, head boolean, open array<long>, shared array<long>"), "page-shared")
+    heads = compared.filter("head")
+    counts = heads.select("host", F.explode("open").alias("line")).groupBy("host", "line").count().filter(F.col("count") >= LEAST_PAGES)
+    pages = stored(heads.groupBy("host").agg(F.count("*").alias("pages")), "host-pages")
+    enough = F.greatest(F.lit(LEAST_PAGES), F.least(F.lit(MOST_PAGES), F.ceil(F.col("pages") / 2)))
+    template = stored(counts.join(broadcast_if(pages, MOST_BROADCAST), "host").filter(F.col("count") >= enough).select("host", "line"), "template")
+    found = compared.select("row", "host", F.explode("shared").alias("line")).join(broadcast_if(template, MOST_BROADCAST), ["host", "line"])
+    return stored(found.groupBy("row").agg(F.collect_set("line").alias("template")), "page-template")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, blocks (array of strings) for every row."""
+    read = stored(read_lines(pages), "page-lines")
+    is_open = F.exists("kinds", lambda k: k == OPEN)
+    sure = read.filter(~is_open).select("page_id", "url", F.col("lines").alias("blocks"))
+    decided = read.filter(is_open).select("row", "page_id", "url", "lines", "kinds").join(template_lines(read), "row", "left")
+    kept = lambda x, i: (F.get("kinds", i) == ARTICLE) | ~F.coalesce(F.array_contains("template", F.xxhash64(x)), F.lit(False))
+    left = F.filter("lines", kept)
+    return sure.unionByName(decided.select("page_id", "url", F.when(F.size(left) > 0, left).otherwise(F.col("lines")).alias("blocks")))
 
 
 def op8_html_text(pages: DataFrame) -> DataFrame:

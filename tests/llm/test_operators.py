@@ -316,6 +316,27 @@ def test_html_differences_lines_beside_an_article(spark):
     assert got == {k: f"Teaser {k}\n\nBody of page {k}, told at some length" for k in range(6)} | {9: "Beside"}
 
 
+def test_html_keeps_copies_and_passages(spark):
+    body = [f"Paragraph {k} of a text that near copies share" for k in range(10)]
+    near = ["".join(f"<p>{x if k != c else f'edited {c}'}</p>" for k, x in enumerate(body)) for c in range(6)]
+    rows = [(k, f"http://copies/{k}", h) for k, h in enumerate(near)]
+    quote = "<div>Menu of the host</div><p>%s</p><p>%s</p>"
+    rows += [(100 + k, f"http://quotes/{k:02}", quote % ("A passage that two pages share" if k in (3, 4) else f"passage {k}", f"The own text of page {k}")) for k in range(12)]
+    got = {r.page_id: r.text.split("\n\n") for r in html_text.op8_html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[c] == [x if k != c else f"edited {c}" for k, x in enumerate(body)] for c in range(6))
+    assert all(got[100 + k] == ["A passage that two pages share" if k in (3, 4) else f"passage {k}", f"The own text of page {k}"] for k in range(12))
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-sidebar", "search-result", "has-menu"])
+def test_html_keeps_layout_classes(name):
+    assert html_text.lines(f"<div class='{name}'><p>Text</p></div><div class='sidebar'>s</div><div id='top-ad'>a</div>") == [("Text", html_text.OPEN)]
+
+
+@pytest.mark.parametrize("raw", ["<svg viewBox='0'/>", "<math/>", "<video src='v'>", "<object data='o'/>", "<video><video></video>", "<svg><path/></svg>", "<script>x</script>"])
+def test_html_goes_on_after_raw_elements(raw):
+    assert [x for x, _ in html_text.lines(f"<p>One</p>{raw}<p>Two</p>")] == ["One", "Two"]
+
+
 def test_common_lines_is_longest():
     rng = np.random.default_rng(2)
     for _ in range(200):
