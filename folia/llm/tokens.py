@@ -6,8 +6,8 @@ range of documents in ascending id order; a second, small Arrow file beside it s
 memory-mapped reader gets at any sequence, mask or document without copying or decoding.
 
 Texts are encoded piece by piece, a piece being what stands between blanks: the tokenizer drops white space before
-it splits and merges, so no token crosses a blank (the tests compare with whole texts). Pieces are remembered, so the
-library encodes each only once per worker.
+it splits and merges, so no token crosses a blank (the tests compare with whole texts). A batch's distinct pieces are
+looked up once each; a worker remembers frequent pieces, and the words in them, in two generations.
 
 Edge cases. Null and empty texts have the end id alone. Null ids come first. Repeated rows are written once each.
 An empty table gives no files and no rows. Other columns are ignored.
@@ -19,11 +19,14 @@ import json
 import os
 import re
 import uuid
+from array import array
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,12 +36,12 @@ from .common import new_path, shuffle_width, stored
 LENGTH = 2048
 ROWS_A_BATCH = 256
 END_ID = 2
-MOST_PIECES = 400_000
+MOST_PIECES = 250_000
 PIECES_A_CALL = 64
-DOCS_A_CALL = 32
-_BLANKS = re.compile(r"[ \t\n\r]+")
+BYTES_A_CALL = 4_000_000
 #: A piece of letters (ASCII and Latin-1), then marks: the tokenizer splits the two whatever they are.
-_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([%&#$*.,;:|!?]*)")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "%&#$*.,;:|!?"
 _LATIN = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]]
 #: Steps of the tokenizers whose texts can be encoded piece by piece; other tokenizers get whole texts.
 _STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
@@ -51,6 +54,32 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent:
+    """A map that remembers its last keys: at least `most` of them, not more than twice as many and a batch's.
+
+    Keys are learned into a young generation; when that is full it becomes the old one, from which keys that are
+    asked for again come back. Frequent keys stay so, keys seen once go."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def many(self, keys: list, learn: Callable[[list], list]) -> list:
+        """The values of distinct keys; learn gives the values of those that aren't known."""
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            for i in missing:
+                out[i] = old.get(keys[i])
+            unknown = [i for i in missing if out[i] is None]
+            for i, x in zip(unknown, learn([keys[i] for i in unknown]), strict=True):
+                out[i] = x
+            young.update((keys[i], out[i]) for i in missing)
+            if len(young) > self.most:
+                self.old, self.young = young, {}
+        return out
+
+
 class Encoder:
     """Texts to 32-bit little-endian ids, by pieces between blanks where the tokenizer allows it."""
 
@@ -59,11 +88,14 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.lib, self.known, self.parts, self.end = Tokenizer.from_file(path), {}, {}, np.uint32(end_id).tobytes()
+        self.lib, self.end = Tokenizer.from_file(path), end_id
+        self.pieces, self.parts = Recent(MOST_PIECES), Recent(MOST_PIECES)
         self.vocabulary, self.model = self.lib.get_vocab_size(), self.lib.model
         spec = json.loads(self.lib.to_str())
         steps = tuple([x["type"] for x in (spec[part] or {}).get(inner, [])] for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
         self.by_pieces = steps == _STEPS
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words are remembered here
         signs = ByteLevel(add_prefix_space=False, use_regex=False)
         self.signs = {ord(c): signs.pre_tokenize_str(c.lower())[0][0] for c in _LATIN}
 
@@ -79,35 +111,50 @@ class Encoder:
             out += [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        own, known = self.parts, self.known
-        if len(own) > MOST_PIECES:
-            own.clear()
-        split = {p: m.groups() for p in new if (m := _LETTERS_MARKS.fullmatch(p))}
-        other = list(new - split.keys())
-        known.update(zip(other, self._joined(other), strict=True))
-        marks = [x for x in {x for _, x in split.values()} if x not in own]
-        own.update(zip(marks, self._joined(marks), strict=True))
-        for p, (word, mark) in split.items():
-            ids = own.get(word)
-            if ids is None:
-                ids = own[word] = np.array([x.id for x in self.model.tokenize(word.translate(self.signs))], "<u4").tobytes()
-            known[p] = ids + own[mark]
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, in the model's own signs."""
+        tokenize = self.model.tokenize
+        return [array("I", [x.id for x in tokenize(w)]).tobytes() for w in words]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        words, marks, other = [], [], []  # a word of None: the piece is one of the others
+        for p in new:
+            w = p.rstrip(_MARKS)
+            if w.isascii() and w.isalpha():
+                words.append(w.lower())
+                marks.append(p[len(w) :])
+            elif _LETTERS.fullmatch(w):
+                words.append(w.translate(self.signs))
+                marks.append(p[len(w) :])
+            else:
+                words.append(None)
+                marks.append("")
+                other.append(p)
+        distinct, kinds = [w for w in dict.fromkeys(words) if w is not None], list(set(marks))
+        of_word = dict(zip(distinct, self.parts.many(distinct, self._words), strict=True))
+        of_mark = dict(zip(kinds, self._joined(kinds), strict=True))
+        of_other = iter(self._joined(other))
+        return [next(of_other) if w is None else of_word[w] + of_mark[m] for w, m in zip(words, marks, strict=True)]
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, one after the other, and their numbers."""
         if not self.by_pieces:
-            return [np.array(x.ids, "<u4").tobytes() + self.end for x in self.lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        pieces = [_BLANKS.split(t or "") for t in texts]
-        known = self.known
-        if new := set().union(*pieces).difference(known):
-            if len(known) + len(new) > MOST_PIECES:
-                known.clear()
-                new = set().union(*pieces)
-            self._learn(new)
-        return [b"".join([known[p] for p in ps]) + self.end for ps in pieces]
+            got = [[*x.ids, self.end] for x in self.lib.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for x in got for i in x], "<u4"), np.array([len(x) for x in got], np.int64)
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        known = self.pieces.many(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn)
+        flat, sizes = np.frombuffer(b"".join(known), "<u4"), np.array([len(x) >> 2 for x in known], np.int64)
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        start = np.concatenate([[0], np.cumsum(sizes)])[codes]
+        ids = flat[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+        return np.insert(ids, ends, self.end), np.diff(ends, prepend=0) + 1
 
     def __call__(self, text: str | None) -> bytes:
-        return self.many([text])[0]
+        return self.many(pa.array([text], pa.string()))[0].tobytes()
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -166,6 +213,15 @@ class _File:
         self.fs.move(self.part, self.path)
 
 
+def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about BYTES_A_CALL bytes of text; a longer text is a slice of its own."""
+    of = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // BYTES_A_CALL
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, files: int | None = None) -> DataFrame:
     """Writes the files; returns name, first (least id rank of the file), n_ids: one small row per file, in order.
 
@@ -182,10 +238,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LEN
             if out is None and batch.num_rows:
                 encoder = worker_encoder(tokenizer)
                 out = _File(folder, f"part-{k:06d}", pa.uint16() if encoder.vocabulary <= 1 << 16 else pa.uint32(), length)
-            for at in range(0, batch.num_rows, DOCS_A_CALL):
-                some = batch.slice(at, DOCS_A_CALL)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.many(some.column(1).to_pylist()), strict=True):
-                    out.add(doc_id, np.frombuffer(ids, "<u4").astype(out.kind.to_pandas_dtype()))
+            for some in by_size(batch):
+                ids, sizes = encoder.many(some.column(1))
+                ids = ids.astype(out.kind.to_pandas_dtype())
+                for doc_id, one in zip(some.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                    out.add(doc_id, one)
         if out:
             out.close()
             yield pa.record_batch({"name": pa.array([f"part-{k:06d}"]), "n_ids": pa.array([out.total], pa.int64()), "n_docs": pa.array([len(out.docs)], pa.int64())})
