@@ -42,6 +42,14 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a column: grouping by it doesn't shuffle these rows again."""
+    spark = df.sparkSession
+    table = f"folia_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", new_path(spark, name)).option("compression", "zstd").bucketBy(shuffle_width(spark), column).saveAsTable(table)
+    return spark.table(table)
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether df has at most most_rows rows; reads no more than one row beyond."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -475,3 +475,74 @@ def test_katz(spark, odd, none, monkeypatch):
         assert math.isclose(sum(p(a, w) for w in uni) + p(a, "<unknown>"), 1, rel_tol=1e-9)
     assert katz.op2_katz(none).count() == 0
     assert all(r.score == 0 for r in katz.score(_docs(spark, [(1, "a b", "s")]), lambda i: True).collect())
+
+
+def _katz_of_order(rows, order, is_held):
+    """Plain Katz of any order over dictionaries: doc's log10 probability, and P(word | context)."""
+    texts = [[*(t or "").encode().lower().split(), "<end>"] for _, t in rows]
+    counts = [Counter() for _ in range(order + 1)]
+    for (i, _), x in zip(rows, texts, strict=True):
+        if not is_held(i):
+            for at in range(len(x)):
+                for k in range(1, order + 1):
+                    if k - 1 <= at + 1:  # one mark of the start
+                        counts[k][tuple(["<s>", *x][at + 2 - k : at + 2])] += 1
+    # a context that reaches before the start is cut there
+    for k in range(2, order + 1):
+        for (i, _), x in zip(rows, texts, strict=True):
+            if not is_held(i):
+                for at in range(min(k - 2, len(x))):
+                    counts[k][tuple(["<s>", *x][: at + 2])] += 1
+    stats = [[sum(c.values()), len(c), *(sum(x == r for x in c.values()) for r in range(1, katz.K + 2))] for c in counts[1:]]
+    p1, d = katz.Unigrams(stats[0]), [katz.discounts(s[2:]) for s in stats]
+    after = [defaultdict(dict) for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g, r in counts[k].items():
+            after[k][g[:-1]][g[-1]] = r
+
+    def p(context, w):
+        """context: the words before w from the start mark on, or the last order - 1 of them."""
+        return at_level(order, context, w)
+
+    def at_level(k, context, w):
+        if k == 1:
+            return float(p1(np.array([counts[1][w,]]))[0])
+        h = tuple(context[-(k - 1) :])
+        seen = after[k].get(h)
+        if not seen:
+            return at_level(k - 1, context, w)
+        c = sum(seen.values())
+        share = {x: float(katz.discounted(np.array([r]), d[k - 1])[0]) / c for x, r in seen.items()}
+        left, scale = 1 - sum(share.values()), 1.0
+        if left < 1e-9:
+            scale, left = c / (c + 1), 1 / (c + 1)
+        if w in seen:
+            return share[w] * scale
+        return left / (1 - sum(at_level(k - 1, context, x) for x in seen)) * at_level(k - 1, context, w)
+
+    out = [sum(math.log10(p(["<s>", *x][: at + 1], w)) for at, w in enumerate(x)) for x in texts]
+    return out, p, [w for w, in counts[1]], after
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_of_any_order_and_from_its_tables(spark, monkeypatch, tmp_path, order):
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(f"t{int(x)}" for x in rng.zipf(1.7, int(rng.integers(1, 30))) % 40)) for k in range(160)]
+    rows += [(500 + k, "always same words " * 9) for k in range(4)] + [(600, None), (601, ""), (None, "t1 t2 t1")]
+    monkeypatch.setattr(katz, "TOKENS_A_BATCH", 700)
+    path = f"file://{tmp_path}/model"
+    docs = _docs(spark, [(i, t, "s") for i, t in rows])
+    got = {r.doc_id: r for r in katz.score(docs, katz.is_held, path, order).collect()}
+    want, p, words, after = _katz_of_order(rows, order, katz.is_held)
+    assert all(math.isclose(got[i].score, w, rel_tol=1e-6) for (i, _), w in zip(rows, want, strict=True))
+    for h in [h for k in range(2, order + 1) for h in list(after[k])[:12]]:
+        assert math.isclose(sum(p(list(h), w) for w in words) + p(list(h), "<unknown>"), 1, rel_tol=1e-9)
+    # other documents, from the tables alone
+    model = katz.load(spark, path)
+    assert model.order == order and spark.read.parquet(f"{path}/grams/level={order}").filter("kind = 'model'").select("range").distinct().count() > 1
+    others = [(k, t if k % 2 else f"{t} never seen t3") for k, (_, t) in enumerate(rows)]
+    again = {r.doc_id: r for r in katz.score_with(_docs(spark, [(i, t, "s") for i, t in others]), model).collect()}
+    train = [(10_000 + k, t) for k, (i, t) in enumerate(rows) if not katz.is_held(i)]
+    want, *_ = _katz_of_order(train + others, order, lambda i: i is not None and i < 10_000)
+    assert all(math.isclose(again[i].score, w, rel_tol=1e-6) and again[i].held_out for (i, _), w in zip(others, want[len(train) :], strict=True))
+    assert katz.score_with(docs.limit(0), model).count() == 0
