@@ -1,22 +1,25 @@
-"""Main text of web pages: page structure first, nearest-URL differencing for what structure leaves open.
+"""Main text of web pages by nearest-URL differencing, which page structure corrects.
 
-Every page is read into lines, one per block. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments and hidden or non-text elements are dropped by element, role, class or id. Lines inside an article are
-the text. What stands elsewhere, within <main> where that holds any text, is open, on pages with an article too: there a page is
-paired with its nearest neighbours by URL path within the host, the line sequences are aligned by longest common
-subsequence, and open lines shared with a neighbour are deleted as template if enough pages of the host have them that
-aren't copies: a page that shares COPY_SHARE of its characters with the page before it is a copy and doesn't count. A
-passage that a page shares with its copies, or with one other page of a larger host, stays. Where no line would be left
-at all the lines stay.
+Every page is read into lines, one per block, each with what structure says of it: ARTICLE (inside an article), BOILER
+(in menus, headers, footers, sidebars, notices, adverts, forms, reader comments, hidden elements: by element, role,
+class or id) or OPEN (anything else). Where a <main> holds text, lines outside it are BOILER.
 
-Differencing alone would delete passages that two articles share and keep adverts and menus that differ from page to
-page, so it decides open lines only.
+Every page is paired with its nearest neighbours by URL path within the host, and their whole line sequences are
+aligned by longest common subsequence. A line that is shared with a neighbour, and that enough pages of the host have
+outside articles which aren't copies, is template and deleted: a page that shares COPY_SHARE of its characters with
+the page before it is a copy and doesn't count. Lines known to be BOILER on one page are evidence against the same
+lines that stand in the open on another. Structure then corrects both errors of differencing: ARTICLE lines stay
+though pages share them (passages that two articles have in common), BOILER lines go though no other page has them
+(adverts and menus of one page). Where no line would be left at all the OPEN ones stay. `decisions` counts the lines
+by what structure and differencing say of them.
 
 Neighbours are found in a range-partitioned sort over host and path, with the pieces' ends put together in a second
-small step: a host with a third of all pages is spread over many tasks.
+small step: a host with a third of all pages is spread over many tasks. Texts aren't shuffled, but for pages with OPEN
+lines; pages are compared by hashes of their lines.
 
 Edge cases. A null html is empty and gives empty text. A null url belongs to the empty host and path. Rows that repeat
-a page_id or url are pages of their own. An empty table gives no rows. Other columns are ignored.
+a page_id or url are pages of their own. An empty table gives no rows. Other columns are ignored. A '<' that begins no
+known element and meets another '<' before its '>' is text.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from html import unescape
 from urllib.parse import urlsplit
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +76,9 @@ _MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
 _NAME = re.compile(r"[A-Za-z]+")
 _BLANK = re.compile(r"\s+")
+_KNOWN = RAW | VOID | INLINE | DROPPED | CLOSES_P | {"html", "body", "option", "optgroup", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "col", "colgroup", "summary", "legend", "picture", "slot", "frameset", "frame"}
 
-ARTICLE, OPEN = 1, 0
+ARTICLE, OPEN, BOILER = 1, 0, 2
 MOST_BROADCAST = 500_000
 
 
@@ -104,23 +109,25 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(html: str | None) -> list[tuple[str, int]]:
-    """The page's lines that aren't dropped, each with ARTICLE or OPEN."""
+def marked_lines(html: str | None) -> list[tuple[str, int]]:
+    """The page's lines in order, each with ARTICLE, OPEN or BOILER."""
     html = html or ""
     out: list[tuple[str, int]] = []
     stack: list[str] = []  # open elements
-    dropping = 0  # length of the stack when the outermost dropped element opened, else 0
+    dropping = 0  # length of the stack when the outermost unwanted element opened, else 0
     buffer: list[str] = []
+    aside: list[str] = []  # the same for text in unwanted elements
     articles = mains = 0
     spots: list[bool] = []  # whether each line stands in <main>
 
     def end_line() -> None:
-        if buffer:
-            text = _BLANK.sub(" ", unescape("".join(buffer))).strip()
-            buffer.clear()
-            if text:
-                out.append((text, ARTICLE if articles else OPEN))
-                spots.append(mains > 0)
+        for part, kind in ((buffer, ARTICLE if articles else OPEN), (aside, BOILER)):
+            if part:
+                text = _BLANK.sub(" ", unescape("".join(part))).strip()
+                part.clear()
+                if text:
+                    out.append((text, kind))
+                    spots.append(mains > 0)
 
     def pop_to(n: int) -> None:
         nonlocal dropping, articles, mains
@@ -134,14 +141,18 @@ def lines(html: str | None) -> list[tuple[str, int]]:
     at = 0
     while True:
         m = _MARKUP.search(html, at)
-        if not dropping and (m is None or m.start() > at):
-            buffer.append(html[at : m.start() if m else len(html)])
+        if m is None or m.start() > at:
+            (aside if dropping else buffer).append(html[at : m.start() if m else len(html)])
         if m is None:
             break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag not in _KNOWN and "<" in m[3] and "-" not in tag:
+            (aside if dropping else buffer).append("<")
+            at = m.start() + 1
+            continue
         if m[1]:
             if tag not in INLINE:
                 end_line()
@@ -151,8 +162,7 @@ def lines(html: str | None) -> list[tuple[str, int]]:
                     pop_to(n)
             continue
         if tag == "br":
-            if not dropping:
-                buffer.append(" ")
+            (aside if dropping else buffer).append(" ")
             continue
         if tag not in INLINE:
             end_line()
@@ -186,11 +196,16 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             stack.append("body")
             dropping = 0
     end_line()
-    if any(spots):
-        return [x for x, inside in zip(out, spots, strict=True) if inside]
+    if any(inside and kind != BOILER for (_, kind), inside in zip(out, spots, strict=True)):
+        return [(x, kind if inside else BOILER) for (x, kind), inside in zip(out, spots, strict=True)]
     return out
 
 
+def lines(html: str | None) -> list[tuple[str, int]]:
+    """The page's lines that structure doesn't reject, each with ARTICLE or OPEN."""
+    return [(x, kind) for x, kind in marked_lines(html) if kind != BOILER]
+
+
 def common_lines(a: list, b: list) -> set[int]:
     """Positions in a of one longest common subsequence of a and b (longest increasing run over matching positions)."""
     where = defaultdict(list)
@@ -215,19 +230,26 @@ def common_lines(a: list, b: list) -> set[int]:
 
 
 def read_lines(pages: DataFrame) -> DataFrame:
-    """row (a number of its own), page_id, url, host, path, lines, kinds."""
+    """row (a number of its own), page_id, url, host, path; of the lines that aren't BOILER the texts, kinds and hashes;
+    of all lines the hashes, kinds and lengths."""
 
     def run(frames):
         for f in frames:
-            got = [lines(h) for h in f.html]
+            got = [marked_lines(h) for h in f.html]
+            hashes = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x, _ in p] for p in got]
             urls = [urlsplit(u) if isinstance(u, str) and "[" not in u and "]" not in u else urlsplit("") for u in f.url]
             yield f[["row", "page_id", "url"]].assign(
                 host=[u.netloc.lower() for u in urls], path=[u.path for u in urls],
-                lines=[[x for x, _ in p] for p in got], kinds=[[k for _, k in p] for p in got],
+                lines=[[x for x, k in p if k != BOILER] for p in got], kinds=[[k for _, k in p if k != BOILER] for p in got],
+                line_hashes=[[h for h, (_, k) in zip(hs, p, strict=True) if k != BOILER] for hs, p in zip(hashes, got, strict=True)],
+                hashes=hashes, all_kinds=[[k for _, k in p] for p in got], sizes=[[len(x) for x, _ in p] for p in got],
             )
 
     numbered = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), "url", "html")
-    return numbered.mapInPandas(run, "row long, page_id long, url string, host string, path string, lines array<string>, kinds array<int>")
+    return numbered.mapInPandas(run, (
+        "row long, page_id long, url string, host string, path string, lines array<string>, kinds array<int>, line_hashes array<long>,"
+        " hashes array<long>, all_kinds array<int>, sizes array<int>"
+    ))
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -245,30 +267,36 @@ def neighbours(keys: DataFrame) -> DataFrame:
     )
 
 
-def template_lines(read: DataFrame) -> DataFrame:
-    """row, template (hashes of the open lines that are template) for the rows that have any. read: of read_lines."""
+def shared_lines(read: DataFrame) -> DataFrame:
+    """row, host, head (it isn't a copy of the page before it), open (hashes of its lines outside articles), shared
+    (those that a neighbour shares), and for each kind of line its number and how many a neighbour shares."""
     near = neighbours(read.select("row", "page_id", "host", "path"))
-    hashed = read.select("row", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", F.length).alias("sizes"))
-    unsure = read.filter(F.exists("kinds", lambda k: k == OPEN)).select("row", "host", "kinds")
-    placed = unsure.join(near, "row").join(hashed, "row")
-    total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
+    light = read.select("row", "host", "hashes", "all_kinds", "sizes")
+    placed = light.join(near, "row")
     for side in ("before", "after"):
-        other = hashed.select(F.col("row").alias(side), F.col("hashes").alias(f"{side}_hashes"), total("sizes").alias(f"{side}_size"))
+        other = light.select(F.col("row").alias(side), F.col("hashes").alias(f"{side}_hashes"), *([F.col("all_kinds").alias("before_kinds"), F.col("sizes").alias("before_sizes")] if side == "before" else []))
         placed = placed.join(other, side, "left")
 
     def compare(frames):
         for f in frames:
             out = []
-            for kinds, mine, sizes, before, before_size, after in zip(f.kinds, f.hashes, f.sizes, f.before_hashes, f.before_size, f.after_hashes, strict=True):
+            for kinds, mine, sizes, before, before_kinds, before_sizes, after in zip(f.all_kinds, f.hashes, f.sizes, f.before_hashes, f.before_kinds, f.before_sizes, f.after_hashes, strict=True):
                 both = [set() if x is None else common_lines(list(mine), list(x)) for x in (before, after)]
-                copied = sum(sizes[i] for i in both[0])
-                head = before is None or copied < COPY_SHARE * max(sum(sizes), before_size)
-                is_open = [i for i, k in enumerate(kinds) if k == OPEN]
-                out.append((head, sorted({mine[i] for i in is_open}), sorted({mine[i] for i in is_open if i in both[0] or i in both[1]})))
-            yield f[["row", "host"]].assign(**{c: [x[k] for x in out] for k, c in enumerate(("head", "open", "shared"))})
-
-    light = placed.select("row", "host", "kinds", "hashes", "sizes", "before_hashes", "before_size", "after_hashes")
-    compared = stored(light.mapInPandas(compare, "row long, host string, head boolean, open array<long>, shared array<long>"), "page-shared")
+                head = before is None
+                if not head:
+                    own, other = (sum(n for n, k in zip(ns, ks, strict=True) if k != BOILER) for ns, ks in ((sizes, kinds), (before_sizes, before_kinds)))
+                    head = sum(sizes[i] for i in both[0] if kinds[i] != BOILER) < COPY_SHARE * max(own, other, 1)
+                found = both[0] | both[1]
+                outside = [i for i, k in enumerate(kinds) if k != ARTICLE]
+                n = [sum(kinds[i] == k for i in some) for k in (ARTICLE, OPEN, BOILER) for some in (range(len(kinds)), found)]
+                out.append((head, sorted({mine[i] for i in outside}), sorted({mine[i] for i in outside if i in found}), n))
+            yield f[["row", "host"]].assign(**{c: [x[k] for x in out] for k, c in enumerate(("head", "open", "shared", "n"))})
+
+    return placed.drop("before", "after").mapInPandas(compare, "row long, host string, head boolean, open array<long>, shared array<long>, n array<int>")
+
+
+def template_lines(compared: DataFrame) -> DataFrame:
+    """row, template (hashes of its lines that are template) for the rows that have any. compared: of shared_lines."""
     heads = compared.filter("head")
     counts = heads.select("host", F.explode("open").alias("line")).groupBy("host", "line").count().filter(F.col("count") >= LEAST_PAGES)
     pages = stored(heads.groupBy("host").agg(F.count("*").alias("pages")), "host-pages")
@@ -281,12 +309,22 @@ def template_lines(read: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, blocks (array of strings) for every row."""
     read = stored(read_lines(pages), "page-lines")
+    template = template_lines(stored(shared_lines(read), "page-shared"))
     is_open = F.exists("kinds", lambda k: k == OPEN)
-    sure = read.filter(~is_open).select("page_id", "url", F.col("lines").alias("blocks"))
-    decided = read.filter(is_open).select("row", "page_id", "url", "lines", "kinds").join(template_lines(read), "row", "left")
-    kept = lambda x, i: (F.get("kinds", i) == ARTICLE) | ~F.coalesce(F.array_contains("template", F.xxhash64(x)), F.lit(False))
+    protected = read.filter(~is_open).select("page_id", "url", F.col("lines").alias("blocks"))
+    decided = read.filter(is_open).select("row", "page_id", "url", "lines", "kinds", "line_hashes").join(template, "row", "left")
+    kept = lambda x, i: (F.get("kinds", i) == ARTICLE) | ~F.coalesce(F.array_contains("template", F.get("line_hashes", i)), F.lit(False))
     left = F.filter("lines", kept)
-    return sure.unionByName(decided.select("page_id", "url", F.when(F.size(left) > 0, left).otherwise(F.col("lines")).alias("blocks")))
+    return protected.unionByName(decided.select("page_id", "url", F.when(F.size(left) > 0, left).otherwise(F.col("lines")).alias("blocks")))
+
+
+def decisions(pages: DataFrame) -> DataFrame:
+    """kind, lines, shared: how many lines structure takes for text, leaves open or rejects, and how many of these a
+    neighbour shares."""
+    compared = shared_lines(stored(read_lines(pages), "page-lines"))
+    sums = compared.agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(6)])
+    rows = [F.struct(F.lit(k).alias("kind"), F.col(f"n{2 * i}").alias("lines"), F.col(f"n{2 * i + 1}").alias("shared")) for i, k in enumerate(("article", "open", "boiler"))]
+    return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def op8_html_text(pages: DataFrame) -> DataFrame:

@@ -546,3 +546,63 @@ def test_katz_of_any_order_and_from_its_tables(spark, monkeypatch, tmp_path, ord
     want, *_ = _katz_of_order(train + others, order, lambda i: i is not None and i < 10_000)
     assert all(math.isclose(again[i].score, w, rel_tol=1e-6) and again[i].held_out for (i, _), w in zip(others, want[len(train) :], strict=True))
     assert katz.score_with(docs.limit(0), model).count() == 0
+
+
+def _main_texts(rows):
+    """Plain differencing over (page_id, url, html): page_id to blocks. Lines of a page differ from each other."""
+    from urllib.parse import urlsplit
+
+    hosts = defaultdict(list)
+    for i, url, html in rows:
+        hosts[urlsplit(url).netloc].append((urlsplit(url).path, i, html_text.marked_lines(html)))
+    out = {}
+    for host in hosts.values():
+        host.sort()
+        heads, shared = [], {}
+        for k, (_, i, own) in enumerate(host):
+            texts = [x for x, _ in own]
+            near = [host[j][2] for j in (k - 1, k + 1) if 0 <= j < len(host)]
+            common = [html_text.common_lines(texts, [x for x, _ in n]) for n in near]  # of the longest there are several
+            shared[i] = {texts[p] for c in common for p in c if own[p][1] != html_text.ARTICLE}
+            size = lambda n: sum(len(x) for x, kind in n if kind != html_text.BOILER)
+            if k == 0 or sum(len(texts[p]) for p in common[0] if own[p][1] != html_text.BOILER) < 0.8 * max(size(own), size(near[0]), 1):
+                heads.append(own)
+        count = Counter(x for own in heads for x in {x for x, kind in own if kind != html_text.ARTICLE})
+        enough = max(2, min(5, math.ceil(len(heads) / 2)))
+        for _, i, own in host:
+            text = [(x, kind) for x, kind in own if kind != html_text.BOILER]
+            left = [x for x, kind in text if kind == html_text.ARTICLE or not (x in shared[i] and count[x] >= enough)]
+            out[i] = left or [x for x, _ in text]
+    return out
+
+
+def test_html_like_plain_differencing(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(150):
+        pick = lambda n, size, word: [f"{word} {k}" for k in rng.permutation(size)[:n]]
+        own = [f"own {i} {k} " + "x" * int(rng.integers(0, 60)) for k in range(int(rng.integers(0, 4)))]
+        parts = [f"<div>{x}</div>" for x in pick(3, 5, "template")] + [f"<nav>{x}</nav>" for x in pick(1, 5, "template")] + [f"<p>{x}</p>" for x in own + pick(1, 30, "passage")]
+        if i % 4 == 0:
+            parts.append(f"<article><p>{rng.choice(['template 1', 'article'])}</p><p>body {i}</p></article>")
+        rows.append((i, f"http://h{i % 3}.org/{int(rng.integers(0, 40)):03d}/{i:03d}", "".join(parts)))
+        if i % 10 == 0:
+            rows.append((1000 + i, f"{rows[-1][1]}x", rows[-1][2].replace("own", "own", 1)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text.split("\n\n") if r.text else []) for r in html_text.op8_html_text(pages).collect()}
+    want = _main_texts(rows)
+    assert got == want
+    assert sum(len(html_text.lines(h)) for _, _, h in rows) > sum(map(len, want.values()))  # differencing did delete lines
+    counted = {r.kind: (r.lines, r.shared) for r in html_text.decisions(pages).collect()}
+    kinds = Counter(k for _, _, h in rows for _, k in html_text.marked_lines(h))
+    assert {k: n for k, (n, _) in counted.items()} == {"article": kinds[html_text.ARTICLE], "open": kinds[html_text.OPEN], "boiler": kinds[html_text.BOILER]}
+    assert all(0 < s <= n for n, s in counted.values())
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div class='has-sidebar'><article><p>A</p></article></div>", ["A"]), ("<main></main><article><p>A</p></article>", ["A"]),
+    ("<article><p>A</p><div id='search-history'><p>B</p></div><div class='ad-free'>C</div></article>", ["A", "B", "C"]),
+    ("<p>if x<y z then</p><p>1 < 2 <b>c</b></p>", ["if x<y z then", "1 < 2 c"]), ("<p>a <span hidden>b</span> c</p>", ["a c"]),
+])
+def test_html_reads_odd_pages(html, text):
+    assert [x for x, _ in html_text.lines(html)] == text
