@@ -97,7 +97,7 @@ def style_depths(headings: DataFrame, native: DataFrame, key: str) -> DataFrame:
 
 
 def levelled(rows: list[dict]) -> list[tuple[int, int, int | None]]:
-    """(block, level, parent) of headings in order; rows: block, style, n_parts, depth (of the style or None), top."""
+    """(block, level, parent) of headings in order; rows: block, style, n_parts, depth (of the style, 0 if it has none), top."""
     deepest = min(DEEPEST, max(1, len({r["style"] for r in rows})))
     path: list[int] = []  # indices of the open headings
     parent: list[int | None] = []
@@ -114,7 +114,7 @@ def levelled(rows: list[dict]) -> list[tuple[int, int, int | None]]:
             level = at[-1]
         else:
             level = styles.index(r["style"]) + 1 if r["style"] in styles else len(path) + 1
-        level = min(max(level, 1), deepest, len(path) + 1)
+        level = int(min(max(level, 1), deepest, len(path) + 1))
         path = path[: level - 1]
         parent.append(path[-1] if path else None)
         at.append(level)
@@ -140,7 +140,7 @@ def heading_outline(headings: DataFrame, native: DataFrame, key: str) -> DataFra
     h = headings.withColumn("style", style(F.col("font"), F.col("size"), F.col("title"))).withColumn("parts", number_parts(F.col("title")))
     h = h.join(style_depths(h, native, key), [key, "style"], "left")
     top = F.coalesce(F.lower(F.trim("title")).isin(*TOP_TITLES), F.lit(False))
-    item = F.struct(F.coalesce("page", F.lit(1 << 30)).alias("page"), (-F.coalesce("y", F.lit(0.0))).alias("y"), F.col("block").cast("long").alias("block"), "style", F.size("parts").alias("n_parts"), "depth", top.alias("top"))
+    item = F.struct(F.coalesce("page", F.lit(1 << 30)).alias("page"), (-F.coalesce("y", F.lit(0.0))).alias("y"), F.col("block").cast("long").alias("block"), "style", F.size("parts").alias("n_parts"), F.coalesce("depth", F.lit(0)).alias("depth"), top.alias("top"))
     gathered = h.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def run(frames):
