@@ -2,8 +2,9 @@
 
 Words are counted per source, every source gets a target, and a document is emitted floor(rate) times plus one more
 with a probability equal to the fraction, drawn from a hash of seed, id and text. No order, no state: reruns agree.
-The hash holds DRAWS draws; each source uses the one whose words come nearest its target, so that a small source isn't
-left to one draw's luck.
+There are DRAWS independent seeds; each source uses the one whose words come nearest its target, so that a small source
+isn't left to one seed's luck. The choice is among whole draws, so a copy's probability leaves the fraction where one
+document is a large part of its source (the README has figures); with many documents it doesn't.
 
 Targets: sources in code point order (null last) take the given weights in turn and share share_pct percent of all
 words. None exceeds cap times its source's size; what is above goes to the others by weight, which is water filling:
@@ -40,8 +41,9 @@ def digest(doc_id: Column, text: Column, seed: str = SEED) -> Column:
 
 
 def draw(digits: Column, k) -> Column:
-    """The k-th draw (from 1) of the digits, in [0, 1)."""
-    return F.conv(F.substring(digits, k, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    """The k-th draw (from 1) of the digits, in [0, 1): a hash of its own for each k."""
+    k = F.lit(k) if isinstance(k, int) else k
+    return F.conv(F.substring(F.md5(F.concat(digits, k.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = SHARE_PCT, cap: int = CAP) -> DataFrame:
@@ -116,10 +118,10 @@ x AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 150.0::DOUBLE / 100.0
 y AS (SELECT *, weight * (total - full_before) >= most * (all_weight - weight_before) AS full_up FROM x),
 z AS (SELECT source, source_size, CASE WHEN full_up THEN most ELSE weight * (total - sum(CASE WHEN full_up THEN most ELSE 0 END) OVER ()) / sum(CASE WHEN full_up THEN 0 ELSE weight END) OVER () END AS target FROM y),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0 END AS rate FROM z),
-t AS (SELECT r.source, k, any_value(target) AS target, sum(size * (floor(rate) + CASE WHEN CAST('0x' || substr(digits, k, 8) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)) AS taken
+t AS (SELECT r.source, k, any_value(target) AS target, sum(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5(digits || CAST(k AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)) AS taken
     FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT CAST(unnest(range(1, 17)) AS INTEGER) AS k) GROUP BY ALL),
 b AS (SELECT source, k FROM t QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(taken - target), k) = 1),
-c AS (SELECT d.*, source_size, target, CAST(floor(rate) + CASE WHEN CAST('0x' || substr(digits, k, 8) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS INTEGER) AS copies
+c AS (SELECT d.*, source_size, target, CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5(digits || CAST(k AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS INTEGER) AS copies
     FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN b ON r.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies FROM c
 """
