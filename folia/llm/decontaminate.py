@@ -6,11 +6,13 @@ less item position), and the tokens around it are compared along that diagonal:
 tokens of which at least ENOUGH are equal, so single substitutions are tolerated. The two masks together hit every
 such window whatever its two unequal places are (checked over all placements in the tests).
 
-Items shorter than WINDOW but with at least SHORTEST tokens must match over their whole length, with as large a share
-of unequal tokens as the window allows. Shorter items can't be told from chance and match nothing.
+Items shorter than WINDOW must match over their whole length, with as large a share of unequal tokens as the window
+allows; those with fewer than TOLERANT tokens must occur token for token. An item with fewer tokens than the shortest
+mask has no seed and matches nothing: so few words can't be told from chance.
 
 Positions are generated, hashed and probed in one generated-code stage: no position is shuffled as long as the
-benchmark's seeds fit the checked broadcast bound; beyond it Spark joins by shuffle.
+benchmark's seeds fit the checked broadcast bound. Beyond it rows of document number, position and seed alone are
+shuffled; the tokens are joined back for the diagonals that were hit.
 
 Every diagonal is verified: hits are grouped by the operator's own row numbers of document and item and by the signed
 start, so neither rows that share an id nor starts before a document's first token stand for one another.
@@ -27,12 +29,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough
+from .common import small_enough, stored
 
 MASKS = ("11111", "1101011")
 WINDOW = 13
 ENOUGH = 11
-SHORTEST = 8
+TOLERANT = 8
 MOST_BROADCAST_SEEDS = 1_000_000
 
 
@@ -59,19 +61,31 @@ def seed_table(texts: DataFrame, *keys: str) -> DataFrame:
     return spots.select(*keys, "toks", "at", F.explode(_seeds(F.col("toks"), F.col("at"))).alias("seed")).filter("seed is not null")
 
 
-def _by_row(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...], window: int = WINDOW, enough: int = ENOUGH, shortest: int = SHORTEST) -> DataFrame:
-    """keys (columns of docs), item_id, matched, aligned, best_window, doc_start: a row per diagonal with an overlap."""
-    items = benchmark.select(F.monotonically_increasing_id().alias("item_row"), "item_id", "text").filter(F.size(tokens(F.col("text"))) >= shortest)
+def _hits(docs: DataFrame, items: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """doc_row, item_row, start, keys, item_id, toks, item: hit diagonals, some of them more than once."""
     seeds = seed_table(items, "item_row", "item_id").select("item_row", "item_id", F.col("toks").alias("item"), F.col("at").alias("item_at"), "seed")
+    start = (F.col("at") - F.col("item_at")).alias("start")
     if small_enough(seeds, MOST_BROADCAST_SEEDS):
-        seeds = F.broadcast(seeds)
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc_row"), *keys, "text")
-    hits = seed_table(numbered, "doc_row", *keys).join(seeds, "seed")
-    start = F.col("at") - F.col("item_at")
+        numbered = docs.select(F.monotonically_increasing_id().alias("doc_row"), *keys, "text")
+        return seed_table(numbered, "doc_row", *keys).join(F.broadcast(seeds), "seed").select("doc_row", "item_row", start, *keys, "item_id", "toks", "item")
+    # the numbers must be the same in both readings
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("doc_row"), *keys, "text"), "leak-docs")
+    items = stored(items, "leak-items")
+    light = seed_table(items, "item_row").select("item_row", F.col("at").alias("item_at"), "seed")
+    hit = seed_table(numbered, "doc_row").select("doc_row", "at", "seed").join(light, "seed").select("doc_row", "item_row", start).distinct()
+    whole = hit.join(numbered.select("doc_row", *keys, tokens(F.col("text")).alias("toks")), "doc_row")
+    return whole.join(items.select("item_row", "item_id", tokens(F.col("text")).alias("item")), "item_row")
+
+
+def _by_row(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...], window: int = WINDOW, enough: int = ENOUGH, tolerant: int = TOLERANT) -> DataFrame:
+    """keys (columns of docs), item_id, matched, aligned, best_window, doc_start: a row per diagonal with an overlap."""
+    items = benchmark.select(F.monotonically_increasing_id().alias("item_row"), "item_id", "text")
+    hits = _hits(docs, items, keys)
+    start = F.col("start")
     first = F.greatest(start, F.lit(0))
     # equal rows of a group have equal values: they are one diagonal of one document and item
     diagonals = hits.select(
-        "doc_row", "item_row", start.alias("start"), *keys, "item_id", F.size("item").alias("item_size"),
+        "doc_row", "item_row", "start", *keys, "item_id", F.size("item").alias("item_size"),
         F.slice("toks", first + 1, F.size("item") + F.least(start, F.lit(0))).alias("a"),
         F.slice("item", first - start + 1, F.size("item")).alias("b"),
     ).groupBy("doc_row", "item_row", "start").agg(*[F.first(c).alias(c) for c in (*keys, "item_id", "item_size", "a", "b")])
@@ -85,10 +99,11 @@ def _by_row(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...], window
     nothing = F.struct(F.lit(0).alias("inside"), F.lit(0).alias("best"), F.lit(0).alias("total"))
     aligned = F.least(F.size("a"), F.size("b"))
     best = diagonals.select(
-        *keys, "item_id", "doc_start", aligned.alias("aligned"), F.least("item_size", F.lit(window)).alias("need"),
+        *keys, "item_id", "doc_start", aligned.alias("aligned"), 
+        F.when(F.col("item_size") < tolerant, F.col("item_size")).otherwise(F.ceil(F.least("item_size", F.lit(window)) * (enough / window))).alias("need"),
         F.aggregate(F.sequence(F.lit(0), aligned - 1), nothing, slide).alias("x"),
     ).select(*keys, "item_id", "doc_start", "aligned", "need", F.col("x.best").alias("best_window"), F.col("x.total").alias("matched"))
-    return best.filter(F.col("best_window") >= F.ceil(F.col("need") * (enough / window))).drop("need")
+    return best.filter(F.col("best_window") >= F.col("need")).drop("need")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
@@ -121,4 +136,4 @@ def op4_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def needed(size: int) -> int:
     """Equal tokens that an item of this many tokens must show in its best window."""
-    return math.ceil(min(size, WINDOW) * (ENOUGH / WINDOW))
+    return size if size < TOLERANT else math.ceil(min(size, WINDOW) * (ENOUGH / WINDOW))

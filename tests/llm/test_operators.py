@@ -606,3 +606,46 @@ def test_html_like_plain_differencing(spark):
 ])
 def test_html_reads_odd_pages(html, text):
     assert [x for x, _ in html_text.lines(html)] == text
+
+
+def _overlaps(docs, items):
+    """Every diagonal of every document and item by brute force: (doc_id, item_id) to matched, aligned, best, start."""
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for d, text in docs:
+        a = cut(text)
+        for i, item in items:
+            b = cut(item)
+            if len(b) < 5:
+                continue
+            for start in range(1 - len(b), len(a)):
+                same = [int(a[start + k] == b[k]) for k in range(len(b)) if 0 <= start + k < len(a)]
+                best = max((sum(same[k : k + 13]) for k in range(len(same))), default=0)
+                if best >= decontaminate.needed(len(b)):
+                    out[d, i] = max(out.get((d, i), ()), (sum(same), len(same), best, -max(start, 0)))
+    return out
+
+
+@pytest.mark.parametrize("most", [10, 1_000_000])
+def test_decontamination_like_every_diagonal(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST_SEEDS", most)
+    rng = np.random.default_rng(21)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(words, int(rng.integers(2, 40))))) for k in range(30)] + [(77, "w1 w2 w3 w4 w1 w2 w3 w4 w1 w2 w3 w4 w1 w2 w3 w4")]
+    items += [(78, "s1 s2 s3 s4 s5"), (79, "s1 s2 s3 s4 s5 s6 s7"), (80, "s1 s2 s3 s4"), (81, "")]
+    docs = [(900, "a s1 s2 s3 s4 s5 b"), (901, "s1, s2, s3, S4, s5; s6 s7"), (902, "s1 s2 s3 x s5 s6 s7"), (903, None)]
+    for k in range(150):
+        body = rng.choice(words, int(rng.integers(0, 50))).tolist()
+        if k % 2:
+            part = items[int(rng.integers(len(items)))][1].split()
+            part = part[int(rng.integers(0, 1 + len(part) // 3)) :]
+            for _ in range(int(rng.integers(0, 4))):
+                if part:
+                    part[int(rng.integers(len(part)))] = "changed"
+            at = int(rng.integers(len(body) + 1))
+            body = body[:at] + part + body[at:]
+        docs.append((k, ", ".join(body)))
+    got = decontaminate.op4_decontamination(_docs(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = _overlaps(docs, items)
+    assert {(r.doc_id, r.item_id): (r.matched, r.aligned, r.best_window, -r.doc_start) for r in got} == want
+    assert {(d, i) for d, i in want if i >= 78 and d >= 900} == {(900, 78), (901, 78), (901, 79)} and len(want) > 40
