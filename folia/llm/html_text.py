@@ -268,8 +268,8 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def shared_lines(read: DataFrame) -> DataFrame:
-    """row, host, head (it isn't a copy of the page before it), open (hashes of its lines outside articles), shared
-    (those that a neighbour shares), and for each kind of line its number and how many a neighbour shares."""
+    """row, host, head (it isn't a copy of the page before it), shared (hashes of its OPEN lines that a neighbour
+    shares, there or in BOILER), and for each kind of line its number and how many a neighbour shares."""
     near = neighbours(read.select("row", "page_id", "host", "path"))
     light = read.select("row", "host", "hashes", "all_kinds", "sizes")
     placed = light.join(near, "row")
@@ -287,29 +287,33 @@ def shared_lines(read: DataFrame) -> DataFrame:
                     own, other = (sum(n for n, k in zip(ns, ks, strict=True) if k != BOILER) for ns, ks in ((sizes, kinds), (before_sizes, before_kinds)))
                     head = sum(sizes[i] for i in both[0] if kinds[i] != BOILER) < COPY_SHARE * max(own, other, 1)
                 found = both[0] | both[1]
-                outside = [i for i, k in enumerate(kinds) if k != ARTICLE]
                 n = [sum(kinds[i] == k for i in some) for k in (ARTICLE, OPEN, BOILER) for some in (range(len(kinds)), found)]
-                out.append((head, sorted({mine[i] for i in outside}), sorted({mine[i] for i in outside if i in found}), n))
-            yield f[["row", "host"]].assign(**{c: [x[k] for x in out] for k, c in enumerate(("head", "open", "shared", "n"))})
+                out.append((head, sorted({mine[i] for i in found if kinds[i] != ARTICLE} & {h for h, k in zip(mine, kinds, strict=True) if k == OPEN}), n))
+            yield f[["row", "host"]].assign(**{c: [x[k] for x in out] for k, c in enumerate(("head", "shared", "n"))})
 
-    return placed.drop("before", "after").mapInPandas(compare, "row long, host string, head boolean, open array<long>, shared array<long>, n array<int>")
+    return placed.drop("before", "after").mapInPandas(compare, "row long, host string, head boolean, shared array<long>, n array<int>")
 
 
-def template_lines(compared: DataFrame) -> DataFrame:
-    """row, template (hashes of its lines that are template) for the rows that have any. compared: of shared_lines."""
-    heads = compared.filter("head")
-    counts = heads.select("host", F.explode("open").alias("line")).groupBy("host", "line").count().filter(F.col("count") >= LEAST_PAGES)
+def template_lines(read: DataFrame, compared: DataFrame) -> DataFrame:
+    """row, template (hashes of its OPEN lines that are template) for the rows that have any. read: of read_lines,
+    compared: of shared_lines. Only lines that two neighbours share are counted over their host."""
+    shared = stored(compared.select("row", "host", F.explode("shared").alias("line")), "page-shared-lines")
+    asked = broadcast_if(stored(shared.select("host", "line").distinct(), "shared-lines"), MOST_BROADCAST)
+    heads = compared.filter("head").select("row", "host")
     pages = stored(heads.groupBy("host").agg(F.count("*").alias("pages")), "host-pages")
+    outside = F.array_distinct(F.filter("hashes", lambda _, i: F.get("all_kinds", i) != ARTICLE))
+    seen = read.select("row", "host", F.explode(outside).alias("line")).join(asked, ["host", "line"], "left_semi").join(heads.select("row"), "row", "left_semi")
+    counts = seen.groupBy("host", "line").count().filter(F.col("count") >= LEAST_PAGES)
     enough = F.greatest(F.lit(LEAST_PAGES), F.least(F.lit(MOST_PAGES), F.ceil(F.col("pages") / 2)))
     template = stored(counts.join(broadcast_if(pages, MOST_BROADCAST), "host").filter(F.col("count") >= enough).select("host", "line"), "template")
-    found = compared.select("row", "host", F.explode("shared").alias("line")).join(broadcast_if(template, MOST_BROADCAST), ["host", "line"])
+    found = shared.join(broadcast_if(template, MOST_BROADCAST), ["host", "line"])
     return stored(found.groupBy("row").agg(F.collect_set("line").alias("template")), "page-template")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, blocks (array of strings) for every row."""
     read = stored(read_lines(pages), "page-lines")
-    template = template_lines(stored(shared_lines(read), "page-shared"))
+    template = template_lines(read, stored(shared_lines(read), "page-shared"))
     is_open = F.exists("kinds", lambda k: k == OPEN)
     protected = read.filter(~is_open).select("page_id", "url", F.col("lines").alias("blocks"))
     decided = read.filter(is_open).select("row", "page_id", "url", "lines", "kinds", "line_hashes").join(template, "row", "left")
