@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stored
+from .common import broadcast_if, shuffle_width, stored
 
 ROWS = 5
 BANDS = 24
@@ -38,6 +38,7 @@ SKETCH_BITS = 512
 MARGIN = 0.2
 CHUNK = 4096
 REGION_SHINGLES = 750_000
+MOST_BROADCAST = 2_000_000
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -297,11 +298,23 @@ def op7_near_dup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with the input's columns; rows without an id stay. Of rows that repeat an id one stays."""
+    """One document of each group, with the input's columns.
+
+    A group's document is that with the least id. Rows without an id stay. Of rows that repeat an id with the same text
+    one stays, that with the least other columns; rows that repeat an id with other texts are documents of their own
+    and stay or go with their id. Only the rows of repeated ids are sorted; no other text is shuffled but for the
+    anti-join where the ids that go don't fit a broadcast."""
     drop = near_duplicates(docs, shingle, percent).filter("not kept").select("doc_id").distinct()
-    left = docs.join(drop, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.lit(1)))
+    repeated = stored(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    left = docs.join(broadcast_if(stored(drop, "dropped-ids"), MOST_BROADCAST), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = broadcast_if(repeated, MOST_BROADCAST)
+    once = left.join(again, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if repeated.isEmpty():
+        return once
     name = "row"
     while name in docs.columns:
         name += "_"
-    return left.withColumn(name, again).filter(F.col(name) == 1).drop(name)
+    order = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order, F.lit(1)))
+    several = left.join(again, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(several.withColumn(name, place).filter(F.col(name) == 1).drop(name))
