@@ -9,7 +9,8 @@ Texts are encoded piece by piece, a piece being what stands between blanks: the
 it splits and merges, so no token crosses a blank (the tests compare with whole texts). A batch's distinct pieces are
 looked up once each; a worker remembers frequent pieces, and the words in them, in two generations.
 
-Edge cases. Null and empty texts have the end id alone. Null ids come first. Repeated rows are written once each.
+Edge cases. Null and empty texts have the end id alone. Null ids come first; rows that share an id follow in the order of
+their texts' hashes, then of their texts. Repeated rows are written once each.
 An empty table gives no files and no rows. Other columns are ignored.
 """
 
@@ -227,7 +228,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, length: int = LEN
 
     Texts are dealt by ranges of doc_id once and encoded where they arrive."""
     ordered = docs.select("doc_id", "text").repartitionByRange(files or shuffle_width(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def write(frames):
         from pyspark import TaskContext
