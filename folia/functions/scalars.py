@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,8 +67,24 @@ def chebyshev_gap(a: list[Column], b: list[Column]) -> Column:
     return F.greatest(a[0] - b[2], b[0] - a[2], a[1] - b[3], b[1] - a[3], F.lit(0.0))
 
 
+def normalized(text: Column, form: str) -> Column:
+    """Text in a Unicode normal form; only texts beyond ASCII leave the JVM."""
+
+    @F.pandas_udf("string")
+    def other(x: pd.Series) -> pd.Series:
+        return x.str.normalize(form)
+
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(F.coalesce(plain, F.lit(True)), text).otherwise(other(F.when(~plain, text)))
+
+
+# Combining marks, blanks and dashes that count for nothing when texts are compared.
+NOTHING = r"[\u0300-\u036f\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF\x2D\u058A\u05BE\u1400\u1806\u2010-\u2015\u2E17\u2E1A\u2E3A\u2E3B\u301C\u3030\u30A0\uFE31\uFE32\uFE58\uFE63\uFF0D]"
+
+
 def normal_text(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"[\s\u2010-\u2015-]+", ""))
+    """Text without marks, blanks, dashes and case."""
+    return F.lower(F.regexp_replace(normalized(text, "NFD"), NOTHING, ""))
 
 
 def nearly_equal(a: Column, b: Column) -> Column:

@@ -12,10 +12,6 @@ from .sequences import keep_last_value
 KEY = ["type", "page_index", "x1", "y1", "x2", "y2", "comment"]
 
 
-def normal_rect(r: list[Column]) -> list[Column]:
-    return [F.least(r[0], r[2]), F.least(r[1], r[3]), F.greatest(r[0], r[2]), F.greatest(r[1], r[3])]
-
-
 def deduplicated(annotations: DataFrame, order: str, key: list[str] | None = None) -> DataFrame:
     """Equal annotations once: the last value at the first place."""
     return keep_last_value(annotations, key or KEY, order)
@@ -36,10 +32,6 @@ def _without(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.join(other, on, "left_anti")
 
 
-def colour_hex(r: Column, g: Column, b: Column) -> Column:
-    return F.lower(F.concat(F.lit("#"), *[F.lpad(F.hex(F.floor(x * 255 + 0.5).cast("long")), 2, "0") for x in (r, g, b)]))
-
-
 def rotated(rotation: Column, degrees: int) -> Column:
     """Degrees added; only a sum beyond 360 is reduced, 360 itself stays."""
     total = rotation + degrees

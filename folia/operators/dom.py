@@ -57,3 +57,31 @@ def metadata(nodes: DataFrame) -> DataFrame:
     named = meta.groupBy("page_id").agg(*[F.max_by(F.when(F.col("name") == n, F.col("content")), F.when(F.col("name") == n, F.col("pre"))).alias(n) for n in ("author", "description", "keywords")])
     title = text_of(nodes, first_element(nodes, "title")).select("page_id", F.trim("text").alias("title"))
     return nodes.select("page_id").distinct().join(title, "page_id", "left").join(named, "page_id", "left")
+
+
+def dom_map(index: DataFrame, anchored: DataFrame) -> DataFrame:
+    """The rows of stream_index that hold an anchored element (page_id, pre) below the body, or are one; with
+    text_length."""
+    a = anchored.select("page_id", F.col("pre").alias("__at")).distinct()
+    body = index.filter("tag = 'body'").groupBy("page_id").agg(F.min("pre").alias("__body"))
+    x = index.join(body, "page_id").filter(F.col("pre") > F.col("__body"))
+    return x.join(a, (x["page_id"] == a["page_id"]) & (a["__at"] >= x["pre"]) & (a["__at"] <= x["last_pre"]), "left_semi").drop("__body")
+
+
+def page_facts(nodes: DataFrame) -> DataFrame:
+    """page_id, title, n_headings, n_links, text: of every page, from one pass over its elements; the text is that of the
+    first article, or of the body where there is none, without scripts and styles."""
+    name = local_name(F.col("tag"))
+    row = F.struct("pre", "last_pre", "tag")
+    facts = nodes.groupBy("page_id").agg(
+        F.count_if(F.col("tag").rlike("^h[1-6]$")).alias("n_headings"), F.count_if(F.col("attrs")["href"].isNotNull()).alias("n_links"),
+        F.min(F.when((F.col("kind") == "element") & (name == "article"), row)).alias("article"), F.min(F.when((F.col("kind") == "element") & (name == "body"), row)).alias("body"),
+        F.min(F.when((F.col("kind") == "element") & (name == "title"), row)).alias("title"),
+        F.filter(F.array_sort(F.collect_list(F.when(F.col("kind") == "element", F.when(name.isin("script", "style"), F.struct("pre", "last_pre"))))), lambda x: x.isNotNull()).alias("hidden"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") == "text") | (F.col("tag") == "br"), F.struct("pre", F.when(F.col("kind") == "text", F.col("text")).otherwise("\n").alias("piece"))))).alias("pieces"),
+    )
+    below = lambda of: F.filter("pieces", lambda p: (p["pre"] > of["pre"]) & (p["pre"] <= of["last_pre"]))
+    shown = lambda pieces: F.filter(pieces, lambda p: ~F.exists("hidden", lambda h: (p["pre"] >= h["pre"]) & (p["pre"] <= h["last_pre"])))
+    joined = lambda pieces: F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
+    main = F.coalesce("article", "body")
+    return facts.select("page_id", F.trim(joined(below(F.col("title")))).alias("title"), "n_headings", "n_links", F.coalesce(joined(shown(below(main))), F.lit("")).alias("text"))

@@ -7,7 +7,7 @@ depend on what came before, so they are folds over one document's headings. Null
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Titles that always stand at the top, the form of a heading number, block types without headings.
@@ -40,6 +40,36 @@ def style(font: Column, size: Column, title: Column) -> Column:
     return F.concat_ws("|", font_name(font), (F.floor(F.coalesce(size, F.lit(0)) * 2 + 0.5) / 2).cast("decimal(9,1)").cast("string"), mostly_upper(title).cast("string"))
 
 
+# What a font's name says of its weight; the first word that fits counts.
+WEIGHTS = (("black", 4.0), ("heavy", 3.5), ("bold", 3.0), ("demi", 2.5), ("medium", 2.0), ("regular", 1.0))
+RARE_SHARE, FREQUENT_SHARE, SMALL_SHARE = 0.02, 0.35, 0.7
+
+
+def font_weight(font: Column) -> Column:
+    """A font's weight from 0 to 4, by its name."""
+    name = F.lower(F.coalesce(font, F.lit("")))
+    out = F.lit(0.0)
+    for word, weight in reversed(WEIGHTS):
+        out = F.when(F.contains(name, F.lit(word)), F.lit(weight)).otherwise(out)
+    return out
+
+
+def style_stats(headings: DataFrame, key: str) -> DataFrame:
+    """key, style, size, upper, weight, n, place (from 0: larger, capital, heavier, rarer styles first), rare, frequent,
+    small, size_gap (to the next style). headings: key, title, font, size. Null sizes are 0; ties in everything are
+    ordered by the style's key."""
+    half = (F.floor(F.coalesce("size", F.lit(0)) * 2 + 0.5) / 2).alias("size")
+    x = headings.select(key, style(F.col("font"), F.col("size"), F.col("title")).alias("style"), half, F.coalesce("size", F.lit(0)).cast("double").alias("__exact"), mostly_upper(F.col("title")).alias("upper"), font_weight(font_name(F.col("font"))).alias("weight"))
+    whole = x.groupBy(key).agg(F.count(F.lit(1)).alias("__all"), F.median("__exact").alias("__median"))
+    per = x.groupBy(key, "style", "size", "upper", "weight").agg(F.count(F.lit(1)).alias("n")).join(whole, key)
+    order = Window.partitionBy(key).orderBy(F.desc("size"), F.desc("upper"), F.desc("weight"), "n", "style")
+    share = F.col("n") / F.col("__all")
+    return per.select(
+        key, "style", "size", "upper", "weight", "n", (F.row_number().over(order) - 1).alias("place"), ((F.col("n") <= 1) | (share < RARE_SHARE)).alias("rare"), (share > FREQUENT_SHARE).alias("frequent"),
+        ((F.col("__median") > 0) & (F.col("size") < F.col("__median") * SMALL_SHARE)).alias("small"), F.coalesce(F.abs(F.col("size") - F.lead("size").over(order)), F.col("size")).alias("size_gap"),
+    )
+
+
 def inline_headings(blocks: DataFrame, headings: DataFrame, key: str) -> DataFrame:
     """Short blocks whose first character has a style that headings have, and that differs from the block's own.
     blocks: key, block, type, title, font, size, first_font, first_size; headings: key, block, title, font, size."""

@@ -57,19 +57,3 @@ def label_candidates(rows: DataFrame, text: str) -> DataFrame:
     arabic, last_word = last_integer(F.col(text)), F.regexp_extract(text, r"([A-Za-z]+)[^A-Za-z]*$", 1)
     r = roman(last_word)
     return rows.withColumn("number", F.coalesce(arabic, r)).withColumn("kind", F.when(arabic.isNotNull(), "arabic").when(r.isNotNull(), "roman")).filter("number is not null")
-
-
-def trimmed_url(url: Column) -> Column:
-    """A URL without closing punctuation, and without a ')' that has no '('."""
-    bare = F.regexp_replace(url, r"[.,;:!?'\"]+$", "")
-    extra = F.regexp_count(bare, F.lit(r"\)")) > F.regexp_count(bare, F.lit(r"\("))
-    return F.when(extra, F.regexp_replace(bare, r"\)[.,;:!?'\"]*$", "")).otherwise(bare)
-
-
-def parsed_links(rows: DataFrame, text: str) -> DataFrame:
-    """start, end (inclusive), url of every web address in a text; addresses with '@' are left out."""
-    urls = F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"]+)"), F.lit(1))
-    x = rows.select("*", F.explode(F.array_distinct(urls)).alias("__raw")).filter(~F.col("__raw").contains("@"))
-    start = F.instr(text, F.col("__raw")) - 1
-    url = trimmed_url(F.col("__raw"))
-    return x.withColumn("start", start).withColumn("url", url).withColumn("end", F.col("start") + F.char_length("url") - 1).drop("__raw")

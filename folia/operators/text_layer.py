@@ -9,8 +9,8 @@ LINES_A_PAGE = 40
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, page_index: one row per line of the text; null texts have none."""
-    x = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, line_no, line, page_index: one row per line of the text; a null text has one empty line."""
+    x = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     return x.withColumn("page_index", F.floor(F.col("line_no") / LINES_A_PAGE).cast("int"))
 
 
@@ -46,8 +46,16 @@ def full_text(rows: DataFrame, pages: Column) -> DataFrame:
 
 def regular_words(all_words: DataFrame) -> DataFrame:
     """Distinct words that are seen wholly in lower case and hold a letter with case."""
-    w = F.regexp_extract("word", r"(?s)\p{L}(?:.*\p{L})?", 0)  # from the first letter to the last
-    return all_words.select("word").distinct().select(w.alias("word")).filter((F.col("word") == F.lower("word")) & (F.upper("word") != F.lower("word"))).distinct()
+    # grouped with a count that is used, so that words are stripped once each and not per occurrence
+    once = all_words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    bare = once.select(F.regexp_extract("word", r"(?s)\p{L}(?:.*\p{L})?", 0).alias("word"))  # from the first letter to the last
+    return bare.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select("word").filter((F.col("word") == F.lower("word")) & (F.upper("word") != F.lower("word")))
+
+
+def modal(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, modal, n: each group's commonest value and how often it occurs; the smallest of equals."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), value)).alias("modal"), F.max("n").alias("n"))
 
 
 def gap_features(boxes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,19 @@ def _query(sql: str | None = None):
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql.replace("{LINES}", _LINES)
+            _SQL[f.__name__] = re.sub(r"\{PLAIN:(\w+)\}", lambda m: _plain(m[1]), sql.replace("{LINES}", _LINES))
         return f
 
     return add
 
 
+def _plain(column: str) -> str:
+    """SQL for a column's text without character references, and with single blanks."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+        column = f"replace({column}, '&{name};', '{char}')"
+    return rf"trim(regexp_replace({column}, '\s+', ' ', 'g'))"
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -50,7 +58,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM documents),
+_LINES = """l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, CAST(generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS INTEGER) AS line_no FROM documents),
 lines AS (SELECT *, CAST(line_no // 40 AS INTEGER) AS page_index FROM l)"""
 _BOXES = """b AS (SELECT *, length(line) AS n, coalesce(sum(length(line)) OVER (PARTITION BY doc_id, page_index ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset FROM lines),
 boxes AS (SELECT doc_id, page_index, line_no, 72.0::DOUBLE AS x1, CAST(792 - 12 * (line_no % 40) - 12 AS DOUBLE) AS y1, CAST(72 + 6 * n AS DOUBLE) AS x2, CAST(792 - 12 * (line_no % 40) AS DOUBLE) AS y2,
@@ -64,14 +72,13 @@ def _lines(spark, d):
 # Pages
 
 
-@_query()
+@_query(r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), e AS (SELECT page_id, html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article FROM p),
+x AS (SELECT page_id, title, len(regexp_extract_all(html, '<h[1-6][ >]')) AS n_headings, len(regexp_extract_all(html, ' href="')) AS n_links, regexp_replace(regexp_replace(regexp_replace(article, '(?s)<(script|style)[ >].*?</(script|style)>', '', 'g'), '<br>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM e)
+SELECT page_id, {PLAIN:title} AS title, n_headings, n_links, {PLAIN:text} AS text, length({PLAIN:text}) AS n_chars FROM x""")
 def html_full_text(spark, d):
-    """Per page: title, counts of headings and links, text of the body."""
-    nodes = dom_nodes(_t(spark, d, "pages"))
-    counts = nodes.groupBy("page_id").agg(F.count_if(F.col("tag").rlike("^h[1-6]$")).alias("n_headings"), F.count_if(F.col("attrs")["href"].isNotNull()).alias("n_links"))
-    body = dom.text_of(nodes.filter("tag is null or tag not in ('script', 'style')"), dom.first_element(nodes, "article"))
-    text = body.select("page_id", F.trim(S.collapse_blanks(F.col("text"))).alias("text"))
-    return dom.metadata(nodes).select("page_id", "title").join(counts, "page_id").join(text, "page_id", "left").withColumn("n_chars", F.char_length("text"))
+    """Per page: title, counts of headings and links, text of the article, or of the body without one."""
+    x = dom.page_facts(dom_nodes(_t(spark, d, "pages")))
+    return x.select("page_id", F.trim(S.collapse_blanks(F.col("title"))).alias("title"), "n_headings", "n_links", F.trim(S.collapse_blanks(F.col("text"))).alias("text")).withColumn("n_chars", F.char_length("text"))
 
 
 @_query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw_title, CAST(len(regexp_extract_all(html, '<a href="[^"]*"')) AS INTEGER) AS n_links,
@@ -153,9 +160,9 @@ def doc_words(spark, d):
 
 
 @_query("""WITH {LINES}, p AS (SELECT doc_id, page_index, trim(string_agg(line, chr(10) ORDER BY line_no), ' ') AS t FROM lines GROUP BY ALL)
-SELECT doc_id, string_agg(t, chr(12) ORDER BY page_index) FILTER (page_index < 2) AS text, CAST(count(*) FILTER (page_index < 2) AS BIGINT) AS extracted_pages, count(*) AS total_pages FROM p GROUP BY doc_id""")
+SELECT doc_id, string_agg(t, chr(12) ORDER BY page_index) AS text, count(*) AS extracted_pages, count(*) AS total_pages FROM p GROUP BY doc_id""")
 def doc_fulltext_pages(spark, d):
-    return T.full_text(_lines(spark, d), F.col("page_index") < 2)
+    return T.full_text(_lines(spark, d), F.lit(True))
 
 
 @_query(r"""WITH {LINES}, w AS (SELECT unnest(string_split(line, ' ')) AS word FROM lines), c AS (SELECT regexp_replace(word, '^[^\p{L}]+|[^\p{L}]+$', '', 'g') AS word FROM w)
@@ -236,15 +243,6 @@ def list_wrap_majority(spark, d):
     return x.groupBy("conv_id", "list_no").agg(F.count(F.lit(1)).alias("n_items"), Q.majority_flow(F.col("flow")).alias("flow"))
 
 
-@_query(r"""WITH {LINES}, x AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS after FROM lines)
-SELECT doc_id, line_no, regexp_matches(line, '[^.!?]$') AND regexp_matches(after, '^[a-z]') AS next_part FROM x WHERE after IS NOT NULL""")
-def paragraph_parts(spark, d):
-    from pyspark.sql import Window
-
-    x = _lines(spark, d).withColumn("after", F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))).filter("after is not null")
-    return x.select("doc_id", "line_no", (F.col("line").rlike("[^.!?]$") & F.col("after").rlike("^[a-z]")).alias("next_part"))
-
-
 # References, labels, links
 
 
@@ -315,16 +313,16 @@ def annot_dedup(spark, d):
     return A.deduplicated(_notes(spark, d).drop("l_linenumber"), "ord", ["type", "page_index", "x1", "width"])
 
 
-@_query("WITH " + _NOTES + """ SELECT * FROM n a WHERE l_linenumber > 3 AND NOT EXISTS (SELECT 1 FROM n b WHERE b.l_linenumber <= 3 AND b.type = a.type AND b.page_index = a.page_index AND b.x1 = a.x1 AND b.width = a.width AND b.ord % 5 = 0)""")
+@_query("WITH " + _NOTES + """ SELECT * FROM n a WHERE l_linenumber > 3 AND NOT EXISTS (SELECT 1 FROM n b WHERE b.l_linenumber <= 3 AND b.type = a.type AND b.page_index = a.page_index AND b.x1 = a.x1 AND b.width = a.width)""")
 def annot_imported(spark, d):
     n = _notes(spark, d)
-    return A.imported(n.filter("l_linenumber > 3"), n.filter("l_linenumber <= 3 and ord % 5 = 0"), ["type", "page_index", "x1", "width"])
+    return A.imported(n.filter("l_linenumber > 3"), n.filter("l_linenumber <= 3"), ["type", "page_index", "x1", "width"])
 
 
-@_query("WITH " + _NOTES + """ SELECT ord FROM n a WHERE l_linenumber <= 3 AND NOT EXISTS (SELECT 1 FROM n b WHERE b.l_linenumber > 3 AND b.type = a.type AND b.page_index = a.page_index AND b.x1 = a.x1 AND b.width = a.width AND b.ord % 9 = 0)""")
+@_query("WITH " + _NOTES + """ SELECT ord FROM n a WHERE l_linenumber <= 3 AND NOT EXISTS (SELECT 1 FROM n b WHERE b.l_linenumber > 3 AND b.type = a.type AND b.page_index = a.page_index AND b.x1 = a.x1 AND b.width = a.width)""")
 def annot_deleted(spark, d):
     n = _notes(spark, d)
-    return A.deleted(n.filter("l_linenumber > 3 and ord % 9 = 0"), n.filter("l_linenumber <= 3"), ["type", "page_index", "x1", "width"]).select("ord")
+    return A.deleted(n.filter("l_linenumber > 3"), n.filter("l_linenumber <= 3"), ["type", "page_index", "x1", "width"]).select("ord")
 
 
 @_query("""SELECT l_orderkey, l_linenumber, lpad(CAST(l_suppkey % 90 AS VARCHAR), 5, '0') || '|' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || '|' || lpad(CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR), 5, '0') AS sort_index FROM lineitem""")
@@ -381,13 +379,19 @@ def object_topk(spark, d):
 
 @_query("""WITH c AS (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_suppkey, arg_min(l_quantity, (-n, l_quantity)) AS modal, max(n) AS n FROM c GROUP BY l_suppkey""")
 def modal_font(spark, d):
-    c = _t(spark, d, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("l_suppkey").agg(F.min_by("l_quantity", F.struct(-F.col("n"), "l_quantity")).alias("modal"), F.max("n").alias("n"))
+    return T.modal(_t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity")
 
 
-@_query("SELECT l_returnflag, l_linestatus, count(*) AS n, median(l_quantity) AS mid, max(l_quantity) AS top FROM lineitem GROUP BY ALL")
+@_query("""WITH h AS (SELECT o_custkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'Arial-Black' WHEN 'O' THEN 'Arial-SemiBold' ELSE 'Arial' END AS font, floor(CAST(o_orderkey % 9 AS DOUBLE) * 1.3 * 2 + 0.5) / 2 AS size, CAST(o_orderkey % 9 AS DOUBLE) * 1.3 AS exact, o_orderkey % 2 = 0 AS upper FROM orders),
+g AS (SELECT doc_id, count(*) AS every, median(exact) AS mid FROM h GROUP BY ALL), s AS (SELECT doc_id, font, size, upper, CASE font WHEN 'Arial-Black' THEN 4.0 WHEN 'Arial-SemiBold' THEN 3.0 ELSE 0.0 END AS weight, count(*) AS n FROM h GROUP BY ALL)
+SELECT doc_id, size, upper, CAST(weight AS DOUBLE) AS weight, n, CAST(row_number() OVER w - 1 AS INTEGER) AS place, n <= 1 OR n / every < 0.02 AS rare, n / every > 0.35 AS frequent, mid > 0 AND size < mid * 0.7 AS small, coalesce(abs(size - lead(size) OVER w), size) AS size_gap
+FROM s JOIN g USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY size DESC, upper DESC, weight DESC, n)""")
 def style_stats(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.median("l_quantity").alias("mid"), F.max("l_quantity").alias("top"))
+    """Styles of each customer's orders, as if they were headings."""
+    font = F.when(F.col("o_orderstatus") == "F", "Arial-Black").when(F.col("o_orderstatus") == "O", "Arial-SemiBold").otherwise("Arial")
+    title = F.when(F.col("o_orderkey") % 2 == 0, "TITLE").otherwise("Title")
+    h = _t(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), font.alias("font"), (F.col("o_orderkey") % 9 * F.lit(1.3)).alias("size"), title.alias("title"))
+    return O.style_stats(h, "doc_id").drop("style")
 
 
 # Books
@@ -546,8 +550,8 @@ def heading_style_depths(spark, d):
 
 @_query()
 def heading_outline(spark, d):
-    """Outlines of the documents' short lines, their lengths standing in for font sizes."""
-    h = _lines(spark, d).filter(F.char_length("line").between(1, 60))
+    """Outlines of the documents' lines, their lengths standing in for font sizes."""
+    h = _lines(spark, d).filter(F.char_length("line") > 0)
     h = h.select("doc_id", F.col("line_no").cast("long").alias("block"), F.col("page_index").alias("page"), (-F.col("line_no").cast("double")).alias("y"), F.col("line").alias("title"), F.lit("F").alias("font"), (8 + F.char_length("line") % 3).cast("double").alias("size"))
     return O.heading_outline(h, spark.createDataFrame([], "doc_id long, style string, depth int"), "doc_id")
 
@@ -637,3 +641,7 @@ def numeric_citation_targets(spark, d):
     n = F.col("n")
     r = _numbered(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("list"), F.col("l_partkey").alias("reference"), n.cast("long").alias("number"), n.cast("long").alias("place"))
     return C.expanded(c, r)
+
+
+# The queries of laid-out pages register themselves here
+from folia.plans import page_queries  # noqa: E402, F401
