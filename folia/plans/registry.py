@@ -477,11 +477,11 @@ def numeric_citations(spark, d):
 
 
 @_query("""SELECT page_id AS doc_id, 'OEBPS/text/' || page_id || '.xhtml' AS href, CAST(1 AS INTEGER) AS n_spine, url AS title,
-    trim(regexp_replace(regexp_extract(html, '<title>([^<&]*)</title>', 1), '\\s+', ' ', 'g')) AS label FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')""")
+    trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS label FROM pages""")
 def epub_packages(spark, d):
     """Each page packed into an EPUB file and read back: spine, table of contents, title."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    books = E.packed(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), title.alias("label"), "html").filter(~F.contains(F.col("label"), F.lit("&"))))
+    books = E.packed(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), title.alias("label"), "html"))
     x = E.packages(books).groupBy("doc_id")
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     return x.agg(pick("toc", "href").alias("href"), F.count_if(F.col("kind") == "spine").cast("int").alias("n_spine"), pick("metadata", "label").alias("title"), pick("toc", "label").alias("label"))
@@ -559,12 +559,12 @@ def heading_outline(spark, d):
 # Sections of books
 
 
-@_query("""SELECT page_id AS doc_id, CAST(0 AS BIGINT) AS ord, trim(regexp_replace(regexp_extract(html, '<title>([^<&]*)</title>', 1), '\\s+', ' ', 'g')) AS label, CAST(0 AS BIGINT) AS place
-FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')""")
+@_query("""SELECT page_id AS doc_id, CAST(0 AS BIGINT) AS ord, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS label, CAST(0 AS BIGINT) AS place
+FROM pages""")
 def epub_contents_places(spark, d):
     """Each page packed into an EPUB file: the block that its entry in the contents leads to."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    books = E.packed(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), title.alias("label"), "html").filter(~F.contains(F.col("label"), F.lit("&"))))
+    books = E.packed(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), title.alias("label"), "html"))
     return X.contents_places(E.packages(books), X.sections(books)).select("doc_id", F.col("ord").cast("long").alias("ord"), "label", "place")
 
 
