@@ -8,8 +8,11 @@ vector length cannot reach the threshold; of the rest, the first HEAD rotated co
 vectors whose partial sum plus the product of the residual lengths reaches the threshold are multiplied in full. Full
 products are of the unrotated whole numbers and so exact; rotated bounds get a slack for rounding.
 
-Queries and vectors meet in pairs of blocks of bounded size. Nothing is left out that could be in a result: ties are
-kept until the final ranking.
+Queries and vectors meet in pairs of blocks of bounded size. After block 0 the queries are dealt into blocks by the
+length that a vector must have to reach their thresholds; a pair of blocks meets only if the vector block's longest is
+long enough for the least demanding query of the other (`block_pairs`, a table with a row per pair of blocks). So whole
+blocks of short vectors aren't sent to queries that cannot take them. Nothing is left out that could be in a result:
+ties are kept until the final ranking.
 
 Edge cases. Vectors that are null or hold null or non-finite components take no part. Vectors of unequal dimension
 are compared as if padded with zeros. Null ids take no part. Rows that share an id count as one candidate with the best
@@ -24,12 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import broadcast_if, stored
 
 BLOCK = 16384
 QUERY_BLOCK = 4096
 CHUNK = 512
 HEAD = 16
+MOST_BROADCAST_PAIRS = 1_000_000
 
 
 def usable(rows: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -114,14 +118,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     q_blocks = max(1, -(-n_q // query_block))
     turn = rotation(vectors, d)
     length = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
-    dealt = vectors.withColumn("length", length).repartitionByRange(blocks, F.desc("length"), "vec_id")
+    dealt = vectors.withColumn("length", F.sqrt(length)).repartitionByRange(blocks, F.desc("length"), "vec_id")
     by_length = stored(dealt.withColumn("block", F.spark_partition_id()), "vectors-by-length")
-    asked = stored(queries.select(F.col("vec_id"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q_block")), "queries")
+    longest = stored(by_length.groupBy("block").agg(F.max("length").alias("longest")), "block-lengths")
+    first_block = longest.agg(F.min("block")).first()[0]
+    asked = stored(queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q_block")), "queries")
 
-    def meet(first_block: int, last_block: int, asked_part: DataFrame) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block")
-        left = by_length.filter(F.col("block").between(first_block, last_block)).select("block", every, "vec_id", "v")
-        right = asked_part.select(F.explode(F.sequence(F.lit(first_block), F.lit(last_block))).alias("block"), "q_block", "vec_id", "v", "limit")
+    def meet(pairs: DataFrame, asked_part: DataFrame) -> DataFrame:
+        pairs = broadcast_if(pairs, MOST_BROADCAST_PAIRS)
+        left = by_length.join(pairs, "block").select("block", "q_block", "vec_id", "v")
+        right = asked_part.join(pairs, "q_block").select("block", "q_block", "vec_id", "v", "limit")
 
         def both(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if c.empty or q.empty:
@@ -131,16 +137,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
         return left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block")).applyInPandas(both, "query_id long, vec_id long, score long")
 
     no_limit = asked.withColumn("limit", F.lit(float("-inf")))
-    first = stored(meet(0, 0, no_limit), "first-block")
+    every_query = asked.select("q_block").distinct().withColumn("block", F.lit(first_block).cast("int"))
+    first = stored(meet(stored(every_query, "first-pairs"), no_limit), "first-block")
     one = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     limits = one.withColumn("rank", place).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("known"))
-    limited = asked.join(limits, "vec_id", "left").withColumn("limit", F.coalesce("known", F.lit(float("-inf"))))
-    every = first if blocks == 1 else first.unionByName(meet(1, blocks - 1, limited))
+    limited = asked.drop("q_block").join(limits, "vec_id", "left").withColumn("limit", F.coalesce("known", F.lit(float("-inf")))).drop("known")
+    own = F.sqrt(length)
+    limited = limited.withColumn("needed", F.when((F.col("limit") > 0) & (own > 0), F.col("limit") / own).otherwise(float("-inf")))
+    limited = limited.repartitionByRange(q_blocks, F.desc("needed"), "vec_id").withColumn("q_block", F.spark_partition_id())
+    limited = stored(limited, "queries-by-need")
+    pairs = stored(block_pairs(longest.filter(F.col("block") > first_block), limited), "block-pairs") if first_block is not None else every_query
+    every = first.unionByName(meet(pairs, limited))
     every = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return every.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def block_pairs(longest: DataFrame, queries: DataFrame) -> DataFrame:
+    """block, q_block: the pairs in which a vector may reach a query's threshold. longest: block, longest; queries:
+    q_block, needed (the length that a vector must have). Both are joined by block, a row per pair of blocks."""
+    least = queries.groupBy("q_block").agg(F.min("needed").alias("needed"))
+    numbers = longest.agg(F.min("block").alias("a"), F.max("block").alias("z")).first()
+    if numbers.a is None:
+        return least.select(F.lit(0).alias("block"), "q_block").limit(0)
+    every = least.withColumn("block", F.explode(F.sequence(F.lit(numbers.a), F.lit(numbers.z))))
+    return every.join(longest, "block").filter(F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("needed")).select("block", "q_block")
+
+
 def op9_inner_product(embeddings: DataFrame) -> DataFrame:
     vectors = stored(usable(embeddings), "vectors")
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)

@@ -649,3 +649,21 @@ def test_decontamination_like_every_diagonal(spark, monkeypatch, most):
     want = _overlaps(docs, items)
     assert {(r.doc_id, r.item_id): (r.matched, r.aligned, r.best_window, -r.doc_start) for r in got} == want
     assert {(d, i) for d, i in want if i >= 78 and d >= 900} == {(900, 78), (901, 78), (901, 79)} and len(want) > 40
+
+
+def test_inner_product_leaves_whole_blocks_out(spark):
+    rows = [(b, float(100 - 10 * b)) for b in range(1, 9)]
+    longest = spark.createDataFrame(rows, "block int, longest double")
+    queries = spark.createDataFrame([(0, 65.0), (0, 70.0), (1, float("-inf")), (2, 1000.0)], "q_block int, needed double")
+    got = {(r.block, r.q_block) for r in inner_product.block_pairs(longest, queries).collect()}
+    assert got == {(b, 0) for b, n in rows if n >= 65} | {(b, 1) for b, _ in rows}
+    # vectors of falling length: the short ones meet no query, and the result is whole
+    rng = np.random.default_rng(14)
+    base = rng.normal(0, 1, (600, 8)) * np.geomspace(1, 0.001, 600)[:, None]
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(base)], "vec_id long, embedding array<double>")
+    v = inner_product.usable(table)
+    got = {(r.query_id, r["rank"]): r.score for r in inner_product.top_k(v, v.filter("vec_id % 50 = 0"), 5, block=40, query_block=3).collect()}
+    whole = np.floor(256 * base)
+    for q in range(0, 600, 50):
+        best = sorted((int(whole[q] @ whole[i]) for i in range(600) if i != q), reverse=True)[:5]
+        assert [got[q, k + 1] for k in range(5)] == best
