@@ -4,6 +4,9 @@ Records are hashed into a fixed number of slots, far more than there are shards.
 and a slot-to-shard map places the slots greedily, heaviest first, on the lightest shard. The map is a small versioned
 table; rebalancing edits it and leaves the records' slots alone.
 
+Rows with equal texts are a group only in that they have one text_crc32: each is placed by its id as well, so a group
+with a third of all rows is spread over all slots and shards.
+
 Edge cases. A null text has no bytes and size 1. A null doc_id is hashed with the text's checksum only. Rows repeated
 in full fall into one slot and take neighbouring positions. An empty table gives no rows and a map of empty slots.
 Other columns of the input are ignored.

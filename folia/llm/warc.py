@@ -8,7 +8,9 @@ Among records with equal payloads of at least SMALLEST bytes the one with the la
 others are revisits that refer to it; smaller payloads are always responses.
 
 Edge cases. A null html is an empty payload. A null page_id sorts below all others. Of rows that repeat page_id and
-payload, one is the response (least url first, null first). A null url is written as an empty target. An empty table
+payload, one is the response (least url first, null first). A null url is written as an empty target; line ends in a url are percent-encoded.
+A payload that very many pages share is stored once; its records are spread by the engine's skew join when they meet
+it again. An empty table
 gives empty archives. Other columns are ignored.
 """
 
@@ -47,7 +49,7 @@ def write_archive(pages: DataFrame, path: str, smallest: int = SMALLEST) -> None
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("kind")),
         line("WARC-Record-ID", F.concat(F.lit("<"), _uri(F.col("page_id"), F.col("row")), F.lit(">"))),
-        line("WARC-Target-URI", F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.lit(""))),
+        line("WARC-Target-URI", F.coalesce(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), F.lit(""))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(F.col("kind") == "revisit", F.concat(
