@@ -33,7 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folia/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/folia/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's tables in the shared folder. To be called when no result is needed any more: results
+    are read from them lazily."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folia/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

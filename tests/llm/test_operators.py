@@ -667,3 +667,14 @@ def test_inner_product_leaves_whole_blocks_out(spark):
     for q in range(0, 600, 50):
         best = sorted((int(whole[q] @ whole[i]) for i in range(600) if i != q), reverse=True)[:5]
         assert [got[q, k + 1] for k in range(5)] == best
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from folia.llm import common
+
+    kept = common.stored(spark.range(3), "some")
+    assert kept.count() == 3 and common.new_path(spark, "x").count(spark.sparkContext.applicationId) == 1
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{common.shared_dir(spark)}/folia/{spark.sparkContext.applicationId}")
+    assert folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    common.clear(spark)
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
