@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folia.operators import characters as CH
+from folia.operators import documents as DO
+from folia.operators import dom
 from folia.operators import flow as FL
 from folia.operators import line_features as LF
 from folia.operators import links as LK
 from folia.operators import nodes as N
 from folia.operators import raw_annotations as RA
 from folia.operators import text_layer as T
+from folia.sources import epub as E
+from folia.sources.html import dom_nodes
 
 from .registry import _query, _t
 
@@ -425,3 +429,61 @@ def equation_labels(spark, d):
         n.alias("start"), n.alias("end"), (F.col("l_quantity") + F.when(n % 2 == 0, 0.3).otherwise(0.0)).alias("right"),
     )
     return N.equation_labels(x).select("doc_id", "number")
+
+
+# Whole documents
+
+
+@_query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'epub' WHEN 3 THEN 'pdf' ELSE 'snapshot' END AS kind, CAST(octet_length(encode(o_orderpriority)) AS BIGINT) AS file_size, md5(o_orderpriority) AS source_hash FROM orders")
+def document_routing(spark, d):
+    types = F.array(*[F.lit(t) for t in ("application/epub+zip", "application/xhtml+xml", "text/html", "application/pdf", "x-html")])
+    x = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.get(types, (F.col("o_orderkey") % 5).cast("int")).alias("content_type"), F.col("o_orderpriority").cast("binary").alias("bytes"))
+    return DO.routed(x).select("doc_id", "kind", "file_size", "source_hash")
+
+
+def _mixed_documents(spark, d):
+    """A book of one to three paragraphs and as many notes, or a page of a paragraph, for every supplier; every tenth is
+    broken."""
+    key = F.col("s_suppkey")
+    j = F.sequence(F.lit(1), (key % 3 + 1).cast("int"))
+    piece = lambda form: F.array_join(F.transform(j, lambda x: F.format_string(form, x)), "")
+    html = F.concat(F.lit("<html><body>"), piece('<p>Text<a href="#n%1$d">%1$d</a></p>'), piece('<aside id="n%1$d" epub:type="footnote">Note</aside>'), F.lit("</body></html>"))
+    s = _t(spark, d, "supplier")
+    books = E.packed(s.filter(key % 2 == 0).select(key.alias("doc_id"), F.col("s_name").alias("title"), F.col("s_name").alias("label"), html.alias("html")))
+    books = books.select("doc_id", F.lit("application/epub+zip").alias("content_type"), F.when(F.col("doc_id") % 10 != 0, F.col("bytes")).alias("bytes"))
+    pages = s.filter(key % 2 == 1).select(key.alias("doc_id"), F.lit("text/html").alias("content_type"), F.concat(F.lit("<html><body><article><h1>Head</h1><p>"), F.repeat(F.lit("Some words, and more, of a text. "), 9), F.lit("</p></article></body></html>")).cast("binary").alias("bytes"))
+    return books.unionByName(pages)
+
+
+_MIXED = """s AS (SELECT s_suppkey AS doc_id, s_suppkey % 3 + 1 AS n FROM supplier),
+t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN trim(repeat('Some words, and more, of a text. ', 9)) WHEN doc_id % 10 <> 0 THEN array_to_string(list_concat(list_transform(range(1, n + 1), lambda x: 'Text' || x), list_transform(range(1, n + 1), lambda x: 'Note')), chr(10)) END AS text, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 2 * n END AS n FROM s)"""
+
+
+@_query("WITH " + _MIXED + """ SELECT doc_id, text FROM t WHERE text IS NOT NULL AND doc_id % 2 = 0""")
+def document_full_text(spark, d):
+    """The full texts of books, from their archives."""
+    return DO.full_text(DO.blocks(_mixed_documents(spark, d)).filter("kind = 'epub'")).select("doc_id", "text")
+
+
+@_query("WITH " + _MIXED + """ SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'snapshot' ELSE 'epub' END AS kind, text IS NULL AS failed, CASE WHEN text IS NULL THEN 'NoBlocks' END AS error FROM t""")
+def document_headers(spark, d):
+    """Headers of books and pages; broken ones carry an error and fail nothing."""
+    docs = _mixed_documents(spark, d)
+    x = DO.headers(docs, DO.blocks(docs))
+    return x.select("doc_id", "kind", (F.col("n_blocks") == 0).alias("failed"), F.col("error.name").alias("error"))
+
+
+@_query("""SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 'OEBPS/a b.xhtml' WHEN 1 THEN 'OEBPS/a b.xhtml' WHEN 2 THEN 'OEBPS/a b.xhtml' END AS found FROM part""")
+def archive_entries(spark, d):
+    """Entries found as they are written, percent-decoded and without regard to case."""
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("doc_id"))
+    paths = F.array(*[F.lit(x) for x in ("OEBPS/a b.xhtml", "OEBPS/a%20b.xhtml", "oebps/A%20B.XHTML", "other")])
+    return DO.entry(p.withColumn("name", F.lit("OEBPS/a b.xhtml")), p.withColumn("path", F.get(paths, (F.col("doc_id") % 4).cast("int")))).select("doc_id", "found")
+
+
+@_query("""SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<h1>')) AS BIGINT) AS headings, 2 AS above FROM pages""")
+def page_dom_map(spark, d):
+    """Maps of the elements above every page's heading: the heading itself and its article."""
+    index = dom.stream_index(dom_nodes(_t(spark, d, "pages")))
+    kept = dom.dom_map(index, index.filter("tag = 'h1'"))
+    return kept.groupBy("page_id").agg(F.count_if(F.col("tag") == "h1").alias("headings"), F.count(F.lit(1)).cast("int").alias("above"))

@@ -166,8 +166,22 @@ def note_links(rows: DataFrame) -> DataFrame:
 def contents_places(packages: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, ord, parent, label, place of the contents' entries: the fragment's block, else the section's start; none
     for files outside the spine and unknown fragments."""
+    return _placed_entries(packages.filter("kind = 'toc'"), rows)
+
+
+def page_list_places(packages: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, ord, label, place of the page list's entries that lead into the book, in order."""
+    return _placed_entries(packages.filter("kind = 'page_list'"), rows).drop("parent").filter("place is not null")
+
+
+def marker_places(rows: DataFrame) -> DataFrame:
+    """doc_id, source, ord, label, place of the page markers in the text, by the kind of their source."""
+    return with_offsets(rows).filter("kind = 'marker'").select("doc_id", F.col("type").alias("source"), "spine", "ord", F.col("name").alias("label"), "place")
+
+
+def _placed_entries(entries: DataFrame, rows: DataFrame) -> DataFrame:
     placed = with_offsets(rows)
-    toc = packages.filter("kind = 'toc'").select("doc_id", "ord", "parent", "label", F.regexp_extract("href", "^[^#]*", 0).alias("file"), F.nullif(F.regexp_extract("href", "#(.*)$", 1), F.lit("")).alias("fragment"))
+    toc = entries.select("doc_id", "ord", "parent", "label", F.regexp_extract("href", "^[^#]*", 0).alias("file"), F.nullif(F.regexp_extract("href", "#(.*)$", 1), F.lit("")).alias("fragment"))
     starts = placed.filter("kind = 'section'").select("doc_id", F.col("spine").alias("file_spine"), F.col("place").alias("start"))
     x = toc.join(_files(placed), ["doc_id", "file"], "left").join(starts, ["doc_id", "file_spine"], "left")
     ids = _ids(placed).select("doc_id", "fragment", "target")
