@@ -112,13 +112,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int =
         return none
     sizes = np.array([len(r) for r in rows])
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    terms, cols = np.unique(np.concatenate(rows), return_inverse=True)
-    cols = cols.astype(np.int32)
+    # places through a table over the buckets: sorting all entries would take several times their size
+    flat = np.concatenate(rows).astype(np.int32, copy=False)
+    present = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    present[flat] = True
+    terms = np.flatnonzero(present)
+    cols = (np.cumsum(present, dtype=np.int32) - 1)[flat]
+    del flat
     of = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    pos = np.bincount(cols[labels[of] == 1], minlength=len(terms))
+    pos = np.bincount(cols[(labels == 1)[of]], minlength=len(terms))
     gain = gains(pos, np.bincount(cols, minlength=len(terms)) - pos, n_pos, n - n_pos)
     scale, pair_scale = (least + (1 - least) * gain / (gain + HALF_GAIN) for least in (FLOOR, PAIR_FLOOR))
-    values, pair_values = _values(scale[cols], of, n), _values(pair_scale[cols], of, n)
+    values, pair_values = (_values(x.astype(np.float32)[cols], of, n).astype(np.float32) for x in (scale, pair_scale))
+    del of
 
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)), 0.0
@@ -168,7 +174,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST
         .orderBy("doc_id").toArrow()
     )
     terms = got["terms"].combine_chunks() if got.num_rows else None
-    rows = [np.asarray(x.values, np.int64) for x in terms] if got.num_rows else []
+    rows = [np.asarray(x.values) for x in terms] if got.num_rows else []  # views
     return rows, np.asarray(got["toxic"], np.int64)
 
 
