@@ -26,6 +26,7 @@ MARKUP = (
 NOTE_SIDE = 22.0
 LETTER = (0.0, 0.0, 612.0, 792.0)
 MOST_POSITION_CHARS = 65000
+DATE_FORM = r"([0-9]{4}(?:[0-9]{2}){0,5})"
 
 
 def own_id(key: Column, name: Column, prefix: str) -> Column:
@@ -46,14 +47,11 @@ def corners(r: Column) -> Column:
     return F.array(F.least(x[0], x[2]), F.least(x[1], x[3]), F.greatest(x[0], x[2]), F.greatest(x[1], x[3]))
 
 
-def page_view(media: Column, crop: Column) -> Column:
-    """The crop box within the media box, or the media box where they share no area."""
-    whole = F.coalesce(media, F.array(*[F.lit(x) for x in LETTER]))
-    part = corners(F.coalesce(crop, whole))
-    m = corners(whole)
-    low = [F.greatest(part[i], m[i]) for i in (0, 1)]
-    high = [F.least(part[i], m[i]) for i in (2, 3)]
-    return F.when(F.coalesce(crop == whole, F.lit(True)) | (high[0] <= low[0]) | (high[1] <= low[1]), whole).otherwise(F.array(*low, *high))
+def page_view(whole: Column, part: Column) -> Column:
+    """The part of a media box (whole) that a crop box covers, or all of it where they share no area."""
+    low = [F.greatest(F.get(part, F.lit(i)), F.get(whole, F.lit(i))) for i in (0, 1)]
+    high = [F.least(F.get(part, F.lit(i)), F.get(whole, F.lit(i))) for i in (2, 3)]
+    return F.when((high[0] <= low[0]) | (high[1] <= low[1]), whole).otherwise(F.array(*low, *high))
 
 
 def numbers(a: Column, multiple: int) -> Column:
@@ -124,10 +122,9 @@ def hex_shares(colour: Column) -> Column:
     return F.when(parts[0] != "", F.array(*[F.conv(p, 16, 10).cast("double") / 255 for p in parts]))
 
 
-def date_of(text: Column, now: Column) -> Column:
-    """The UTC time of the first run of four to fourteen digits; parts that are missing are their first, parts beyond
-    their range carry over. now for texts without one."""
-    digits = F.regexp_extract(F.coalesce(text, F.lit("")), r"([0-9]{4}(?:[0-9]{2}){0,5})", 1)
+def date_of(digits: Column, now: Column) -> Column:
+    """The UTC time of four to fourteen digits (DATE_FORM finds them); parts that are missing are their first, parts
+    beyond their range carry over. now for none."""
     part = lambda at, n, other: F.when(F.length(digits) >= at + n - 1, F.substring(digits, at, n).cast("int")).otherwise(other)
     month = F.greatest(part(5, 2, F.lit(1)), F.lit(1))
     day, hour, minute, second = part(7, 2, F.lit(1)), part(9, 2, F.lit(0)), part(11, 2, F.lit(0)), part(13, 2, F.lit(0))
@@ -157,8 +154,12 @@ def read(raw: DataFrame, prefix: str, now: Column) -> DataFrame:
     x = raw.withColumn("id", own).withColumn("type", kind).filter("type is not null").filter(~(F.col("type").isin("image", "ink", "text") & F.col("id").isNull()))
     area = F.when(numbers(F.col("quads"), 8), quad_rects(F.col("quads"))).when(numbers(F.col("rect"), 4), F.array(corners(F.col("rect"))))
     # in steps: each uses the columns of the one before more than once
-    x = x.withColumn("__area", area).withColumn("__view", page_view(F.col("media_box"), F.col("crop_box"))).withColumn("__rgb", colour_bytes(F.col("colour")))
-    x = x.withColumn("__first", F.get("__area", F.lit(0))).withColumn("__over_white", over_white(F.col("__rgb"), F.col("alpha")))
+    x = x.withColumns({
+        "__area": area, "__whole": F.coalesce("media_box", F.array(*[F.lit(v) for v in LETTER])), "__rgb": colour_bytes(F.col("colour")),
+        "__digits": F.regexp_extract(F.coalesce("modified", F.lit("")), DATE_FORM, 1),
+    })
+    x = x.withColumns({"__first": F.get("__area", F.lit(0)), "__part": corners(F.coalesce("crop_box", "__whole")), "__over_white": over_white(F.col("__rgb"), F.col("alpha"))})
+    x = x.withColumn("__view", page_view(F.col("__whole"), F.col("__part")))
     x = x.withColumn("__note", F.when(F.size("__area") == 1, F.array(note_square(F.col("__first"), F.col("__view")))))
     drawn = F.coalesce(F.forall("paths", lambda p: numbers(p, 2)) & F.col("border_width").isNotNull() & ~F.isnan("border_width"), F.lit(False))
     placed = numbers(F.col("text_rect"), 4) & F.coalesce(~F.isnan("rotation") & ~F.isnan("font_size"), F.lit(False))
@@ -172,7 +173,7 @@ def read(raw: DataFrame, prefix: str, now: Column) -> DataFrame:
         "doc_id", "ord", "page_index", "id", "type", F.col("__place.rects").alias("rects"), F.col("__place.paths").alias("paths"),
         F.when(F.col("__place.paths").isNotNull(), round_half_up(F.col("border_width"), 3)).alias("width"),
         turned.alias("rotation"), F.when(F.col("type") == "text", round_half_up(F.col("font_size"), 1)).alias("font_size"),
-        date_of(F.col("modified"), now).alias("date_modified"), F.coalesce("author", F.lit("")).alias("author"), F.coalesce("contents", F.lit("")).alias("comment"),
+        date_of(F.col("__digits"), now).alias("date_modified"), F.coalesce("author", F.lit("")).alias("author"), F.coalesce("contents", F.lit("")).alias("comment"),
         bytes_hex(F.col("__over_white")).alias("colour"), tags_of(F.col("tags")).alias("tags"), transferable(F.col("subtype"), F.col("id")).alias("transferable"),
     )
 

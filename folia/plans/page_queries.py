@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folia.operators import annotation_import as AI
 from folia.operators import characters as CH
 from folia.operators import documents as DO
 from folia.operators import dom
@@ -487,3 +488,49 @@ def page_dom_map(spark, d):
     index = dom.stream_index(dom_nodes(_t(spark, d, "pages")))
     kept = dom.dom_map(index, index.filter("tag = 'h1'"))
     return kept.groupBy("page_id").agg(F.count_if(F.col("tag") == "h1").alias("headings"), F.count(F.lit(1)).cast("int").alias("above"))
+
+
+# Importing annotations
+
+
+def _item_marks(spark, d):
+    """Raw annotations over the third word of every item, one that exists already, and a note beside it."""
+    chars = _item_chars(spark, d)
+    w = CH.words(chars).filter("word_no in (1, 2)").select("doc_id", "word_no", "start", "end")
+    box = chars.join(w, "doc_id").filter("ord between start and end").groupBy("doc_id", "word_no").agg(F.array(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).alias("rect"))
+    none = {"key": "string", "name": "string", "quads": "array<double>", "paths": "array<array<double>>", "border_width": "double", "rotation": "double", "font_size": "double", "text_rect": "array<double>", "modified": "string", "author": "string", "contents": "string", "colour": "array<double>", "alpha": "double", "tags": "string", "parent": "long", "media_box": "array<double>", "crop_box": "array<double>"}
+    raw = box.select("doc_id", F.col("word_no").cast("long").alias("ord"), F.lit(0).alias("page_index"), F.explode(F.array(F.lit("Highlight"), F.lit("Text"))).alias("subtype"), "rect", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    raw = raw.withColumn("ord", F.col("ord") * 2 + F.when(F.col("subtype") == "Text", 1).otherwise(0))
+    return raw, chars
+
+
+@_query("WITH " + _ITEM_WORDS + """, m AS (SELECT doc_id, text, upto - length(text) AS start FROM w WHERE word_no = 2)
+SELECT doc_id, 'highlight' AS type, text, 'p' || doc_id AS page_label, '00000|' || lpad(CAST(start AS VARCHAR), 6, '0') AS place FROM m""")
+def annotations_imported(spark, d):
+    """Highlights that don't exist yet, with text, label and place: those of the third word; those of the second exist."""
+    raw, chars = _item_marks(spark, d)
+    existing = RA.read(raw.filter("ord in (2, 3)"), _PREFIX, F.current_timestamp())
+    pages = raw.select("doc_id", "page_index").distinct().select("doc_id", "page_index", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("label"), F.array(*[F.lit(v) for v in RA.LETTER]).alias("view"))
+    x = AI.imported(raw, existing, chars, pages, _PREFIX).filter("type <> 'note'")
+    return x.select("doc_id", "type", "text", "page_label", F.substring("sort_index", 1, 12).alias("place"))
+
+
+@_query("SELECT item_id AS doc_id, CAST(2 AS BIGINT) AS gone FROM benchmark WHERE len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) >= 3")
+def annotations_gone(spark, d):
+    """Existing annotations that are there no more: both of the third word."""
+    raw, _ = _item_marks(spark, d)
+    read = RA.read(raw, _PREFIX, F.current_timestamp())
+    return AI.changes(read.filter("ord < 4"), read)[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("gone"))
+
+
+@_query("""SELECT l_orderkey AS doc_id, l_linenumber AS ord, CASE WHEN l_partkey % 2 = 0 THEN 'note' ELSE 'highlight' END AS type, l_suppkey % 9 AS page_index, CASE WHEN l_partkey % 2 = 0 THEN l_quantity - 11 ELSE 1.0 END AS x1, CASE WHEN l_partkey % 2 = 0 THEN 39.0 ELSE 7.0 END AS y1, CAST(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n FROM lineitem WHERE l_partkey % 2 = 1 OR l_suppkey % 4 > 0""")
+def third_party_imported(spark, d):
+    note = F.col("l_partkey") % 2 == 0
+    array = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    x = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.when(note, "note").otherwise("highlight").alias("type"), (F.col("l_suppkey") % 9 + 1).alias("page"),
+        F.when(F.col("l_suppkey") % 4 > 0, F.col("l_quantity")).alias("x"), F.lit(50.0).alias("y"), F.when(~note, F.array(array(9, 3, 2, 1), array(5, 9, 1, 7))).alias("rects"),
+    )
+    y = AI.third_party(x)
+    at = lambda i: F.get(F.get("rects", F.lit(0)), F.lit(i))
+    return y.select("doc_id", "ord", "type", "page_index", at(0).alias("x1"), at(1).alias("y1"), F.size("rects").alias("n"))
