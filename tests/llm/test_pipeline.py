@@ -38,7 +38,8 @@ def test_pipeline(spark, tmp_path):
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        docs = stage(spark, docs, str(tmp_path)).localCheckpoint()
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/after-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/after-{name}")
         kept[name] = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] if "text" in docs.columns else docs.collect()
         if name == "mixing":
             taken = sum(r.taken for r in mixing.op3_mixing(before).collect())
