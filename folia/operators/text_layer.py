@@ -46,10 +46,12 @@ def full_text(rows: DataFrame, pages: Column) -> DataFrame:
 
 def regular_words(all_words: DataFrame) -> DataFrame:
     """Distinct words that are seen wholly in lower case and hold a letter with case."""
-    # grouped with a count that is used, so that words are stripped once each and not per occurrence
-    once = all_words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    bare = once.select(F.regexp_extract("word", r"(?s)\p{L}(?:.*\p{L})?", 0).alias("word"))  # from the first letter to the last
-    return bare.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select("word").filter((F.col("word") == F.lower("word")) & (F.upper("word") != F.lower("word")))
+    # what is tested depends on a count, so that tests aren't pushed below the grouping: words are stripped once each
+    seen = lambda c: F.when(F.col("n") > 0, c)
+    once = all_words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    bare = once.select(seen(F.regexp_extract("word", r"(?s)\p{L}(?:.*\p{L})?", 0)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    w = seen(F.col("word"))
+    return bare.filter((w == F.lower(w)) & (F.upper(w) != F.lower(w))).select("word")
 
 
 def modal(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
