@@ -66,9 +66,13 @@ def quad_rects(quads: Column) -> Column:
     return F.transform(at, lambda i: corners(F.array(*[F.get(quads, 8 * i + k) for k in (4, 5, 2, 3)])))
 
 
-def note_square(r: Column, view: Column, side: float = NOTE_SIDE) -> Column:
-    """A square around the centre, moved into the view; what is left of 0 or beyond the view is set, not shifted."""
+def note_square(r: Column, view: Column, side: float = NOTE_SIDE, centre_places: int | None = None) -> Column:
+    """A square around the centre, moved into the view; what is left of 0 or beyond the view is set, not shifted. The
+    centre is as doubles give it, or rounded to centre_places."""
     c = [(F.get(r, F.lit(i)) + F.get(r, F.lit(i + 2))) / 2 for i in (0, 1)]
+    if centre_places is not None:
+        k = 10.0**centre_places
+        c = [F.rint(x * k) / k for x in c]
     out = {}
     for i in (0, 1):
         low, high = c[i] - side / 2, c[i] + side / 2
@@ -146,9 +150,9 @@ def tags_of(text: Column) -> Column:
     return F.when(F.coalesce(sound, F.lit(False)), F.from_json(text, "array<string>")).otherwise(F.array().cast("array<string>"))
 
 
-def read(raw: DataFrame, prefix: str, now: Column) -> DataFrame:
+def read(raw: DataFrame, prefix: str, now: Column, centre_places: int | None = None) -> DataFrame:
     """doc_id, ord, page_index, id, type, rects, paths, width, rotation, font_size, date_modified, author, comment,
-    colour, tags, transferable: the valid annotations of the six types."""
+    colour, tags, transferable: the valid annotations of the six types. centre_places as in `note_square`."""
     own = own_id(F.col("key"), F.col("name"), prefix)
     kind = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])[F.col("subtype")]
     x = raw.withColumn("id", own).withColumn("type", kind).filter("type is not null").filter(~(F.col("type").isin("image", "ink", "text") & F.col("id").isNull()))
@@ -160,7 +164,7 @@ def read(raw: DataFrame, prefix: str, now: Column) -> DataFrame:
     })
     x = x.withColumns({"__first": F.get("__area", F.lit(0)), "__part": corners(F.coalesce("crop_box", "__whole")), "__over_white": over_white(F.col("__rgb"), F.col("alpha"))})
     x = x.withColumn("__view", page_view(F.col("__whole"), F.col("__part")))
-    x = x.withColumn("__note", F.when(F.size("__area") == 1, F.array(note_square(F.col("__first"), F.col("__view")))))
+    x = x.withColumn("__note", F.when(F.size("__area") == 1, F.array(note_square(F.col("__first"), F.col("__view"), centre_places=centre_places))))
     drawn = F.coalesce(F.forall("paths", lambda p: numbers(p, 2)) & F.col("border_width").isNotNull() & ~F.isnan("border_width"), F.lit(False))
     placed = numbers(F.col("text_rect"), 4) & F.coalesce(~F.isnan("rotation") & ~F.isnan("font_size"), F.lit(False))
     several = F.when(F.col("type") == "note", F.col("__note")).when(F.col("type").isin("highlight", "underline", "image"), F.col("__area"))

@@ -75,8 +75,9 @@ SELECT doc_id, ord, page_index, id, type, CAST(CASE WHEN type = 'ink' THEN NULL
     CASE WHEN p % 4 = 0 THEN '' WHEN p % 4 = 1 THEN CASE WHEN ord % 2 = 1 THEN '#c0c0c0' ELSE '#808080' END WHEN p % 4 = 2 THEN CASE WHEN ord % 2 = 1 THEN '#ffa090' ELSE '#ff4020' END ELSE CASE WHEN ord % 2 = 1 THEN '#808080' ELSE '#000000' END END AS colour
 FROM t""")
 def raw_annotations_read(spark, d):
-    """Six types of raw annotations with validity, own ids, geometry, dates and colours."""
-    x = RA.read(_raw(spark, d), _PREFIX, F.lit("1999-12-31 23:59:59").cast("timestamp"))
+    """Six types of raw annotations with validity, own ids, geometry, dates and colours; notes' centres to nine places,
+    as the twin has them: many lie on ties of the third place."""
+    x = RA.read(_raw(spark, d), _PREFIX, F.lit("1999-12-31 23:59:59").cast("timestamp"), centre_places=9)
     first = lambda i: F.get(F.get("rects", F.lit(0)), F.lit(i))
     return x.select(
         "doc_id", "ord", "page_index", "id", "type", F.size("rects").alias("n_rects"), first(0).alias("x1"), first(1).alias("y1"), first(2).alias("x2"),

@@ -47,6 +47,26 @@ def test_raw_annotations(spark):
     assert {(r.doc_id, r.ord) for r in RA.without_transferable(popups, "P-").collect()} == {(1, 3), (2, 2), (None, None)}
 
 
+def test_notes_on_ties(spark, tmp_path):
+    import duckdb
+
+    from folia.plans import registry
+
+    lines = [(1, 1246, 1, 1, 39.0), (2, 742, 1, 1, 45.0), (3, 994, 1, 1, 45.0), (4, 2100, 1, 1, 3.0), (5, 497, 1, 1, 41.0)]
+    made = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    made.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = duck.execute(registry.oracle_sql()["raw_annotations_read"]).df()
+    got = registry.queries()["raw_annotations_read"](spark, str(tmp_path)).toPandas()
+    bits = lambda x: sorted(zip(x.doc_id, x.x1, x.y1, x.x2, strict=True))
+    assert len(want) == 5 and bits(got) == bits(want)  # exactly: a tie that falls the other way moves a note by 0.001
+    # by itself the operator rounds nothing before the square is placed
+    raw = _raw(spark, tie={"doc_id": 1, "ord": 1, "subtype": "Text", "rect": [246 + 0.1235, 1.5, 246 + 0.1235 + 39.0, 11.5]})
+    now = F.lit("2001-01-01").cast("timestamp")
+    assert [RA.read(raw, "P-", now, places).first().rects[0][0] for places in (None, 9)] == [254.624, 254.623]
+
+
 def test_long_drawings_are_cut(spark):
     schema = "id string, page_index int, rects array<array<double>>, paths array<array<double>>, width double"
     path = [float(x) for x in range(400)]
