@@ -19,27 +19,47 @@ PAGE = ["doc_id", "page"]
 
 
 def mono_grid_regions(chars: DataFrame) -> DataFrame:
+    """The regions of `mono_grid_lines`. chars: doc_id, page, line, ord, c, x1, x2, mono."""
+    item = F.struct(*[F.col(c) for c in ("ord", "c", "x1", "x2", "mono")])
+    return mono_grid_lines(chars.groupBy(*PAGE, "line").agg(F.collect_list(item).alias("chars")))
+
+
+def mono_grid_lines(lines: DataFrame) -> DataFrame:
     """doc_id, page, first_line, last_line, n_lines, width, grid_share of runs of monospace lines whose characters stand
-    on one grid of columns. chars: doc_id, page, line, ord, c, x1, x2, mono. Blank characters count nowhere; a page's
-    line without a visible character ends a run. The column width is the commonest, of equals the first met; the first
-    column is where the leftmost line begins."""
-    seen = chars.withColumn("__seen", F.coalesce("c", F.lit("")).rlike(r"[^\s\p{Z}\x{feff}]"))
-    share = F.coalesce(F.count_if(F.col("__seen") & F.col("mono")) / F.nullif(F.count_if("__seen"), F.lit(0)), F.lit(0.0))
-    first = F.min_by(F.when(F.col("__seen"), F.col("x1")), F.when(F.col("__seen"), F.col("ord"))).alias("begin")
-    lines = seen.groupBy(*PAGE, "line").agg((share >= MONO_SHARE).alias("is_mono"), first)
-    # lines are neighbours only if no line of the page lies between them: the run's flag covers those too
-    runs = islands(lines, PAGE, "line", F.col("is_mono")).filter("is_mono")
-    own = Window.partitionBy(*PAGE, "island")
-    runs = runs.withColumn("n_lines", F.count(F.lit(1)).over(own)).withColumn("zero", F.min("begin").over(own)).filter(F.col("n_lines") >= LEAST_LINES)
-    inside = seen.filter("__seen and mono").join(runs, [*PAGE, "line"])
-    key = [*PAGE, "island"]
-    widths = inside.withColumn("width", F.floor((F.col("x2") - F.col("x1")) * 100 + 0.5) / 100).filter("width > 0")
-    widths = widths.groupBy(*key, "width").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line", "ord")).alias("met"))
-    width = widths.groupBy(*key).agg(F.min_by("width", F.struct((-F.col("n")).alias("n"), "met")).alias("width"))
-    column = (F.col("x1") - F.col("zero")) / F.col("width")
-    fits = inside.join(width, key).groupBy(*key, "n_lines", "width").agg(
-        F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.avg((F.abs(column - F.round(column)) < GRID_SLACK).cast("double")).alias("grid_share"))
-    return fits.filter(F.col("grid_share") >= GRID_SHARE).drop("island")
+    on one grid of columns. lines: doc_id, page, line, chars (an array of ord, c, x1, x2, mono; a line without monospace
+    characters may come with none, since no others can make it one of a run). Blank characters count nowhere; a page's line without a visible character ends a run. The column width is the commonest, of equals the
+    first met; the first column is where the leftmost line begins.
+
+    Characters never stand in rows of their own: a line weighs its own, and of monospace lines alone the places and the
+    counts of widths go through the one exchange, by page."""
+    visible = lambda x: F.coalesce(x["c"], F.lit("")).rlike(r"[^\s\p{Z}\x{feff}]")
+    x = lines.withColumn("__in", F.filter("chars", lambda x: x["mono"] & visible(x)))
+    x = x.withColumn("__seen", F.when(F.size("__in") > 0, F.filter("chars", visible)))
+    is_mono = F.coalesce(F.size("__in") / F.size("__seen") >= MONO_SHARE, F.lit(False))
+    placed = F.filter(F.transform("__seen", lambda x: F.struct(x["ord"].alias("ord"), x["x1"].alias("x1"))), lambda x: x["ord"].isNotNull())
+    rounded = lambda x: F.struct((F.floor((x["x2"] - x["x1"]) * 100 + 0.5) / 100).alias("width"), x["ord"].alias("ord"))
+    # arrays of one: expressions aren't moved past them, where those that stand inside of others would be made per item
+    x = x.select(*PAGE, "line", F.explode(F.array(F.struct(
+        is_mono.alias("is_mono"), F.when(is_mono, F.array_min(placed)["x1"]).alias("begin"), F.when(is_mono, F.filter(F.transform("__in", lambda x: x["x1"]), lambda v: v.isNotNull())).alias("xs"),
+        F.when(is_mono, F.filter(F.transform("__in", rounded), lambda w: w["width"] > 0)).alias("ws")))).alias("__x")).select(*PAGE, "line", "__x.*")
+    of = lambda w: F.filter("ws", lambda x: x["width"] == w)
+    counted = F.transform(F.array_distinct(F.transform("ws", lambda x: x["width"])), lambda w: F.struct(w.alias("width"), F.size(of(w)).alias("n"), F.array_min(F.transform(of(w), lambda x: x["ord"])).alias("ord")))
+    x = x.select(*PAGE, "line", "is_mono", "begin", "xs", counted.alias("widths"))
+    runs = islands(x, PAGE, "line", F.col("is_mono")).filter("is_mono")
+    met = F.transform("widths", lambda w: F.struct(w["width"].alias("width"), w["n"].alias("n"), F.col("line").alias("line"), w["ord"].alias("ord")))
+    runs = runs.groupBy(*PAGE, "island").agg(
+        F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n_lines"), F.min("begin").alias("zero"),
+        F.flatten(F.collect_list("xs")).alias("xs"), F.flatten(F.collect_list(met)).alias("widths")).filter(F.col("n_lines") >= LEAST_LINES)
+    same = lambda w: F.filter("widths", lambda x: x["width"] == w)
+    rank = lambda w: F.struct(
+        (-F.aggregate(same(w), F.lit(0), lambda n, x: n + x["n"])).alias("n"), F.array_min(F.transform(same(w), lambda x: F.struct(x["line"].alias("line"), x["ord"].alias("ord")))).alias("met"), w.alias("width"))
+    width = F.array_min(F.transform(F.array_distinct(F.transform("widths", lambda x: x["width"])), rank))["width"]
+    key = [*PAGE, "n_lines", "first_line", "last_line", "zero", "xs"]
+    runs = runs.select(*key, F.explode(F.array(width)).alias("width")).filter("width is not null")
+    column = lambda v: (v - F.col("zero")) / F.col("width")
+    on_grid = F.filter("xs", lambda v: F.abs(column(v) - F.round(column(v))) < GRID_SLACK)
+    fits = runs.select(*key, "width", F.explode(F.array(F.size(on_grid) / F.nullif(F.size("xs"), F.lit(0)))).alias("grid_share"))
+    return fits.filter(F.col("grid_share") >= GRID_SHARE).select(*PAGE, "n_lines", "width", "first_line", "last_line", "grid_share")
 
 
 def overlaid(blocks: DataFrame, regions: DataFrame) -> DataFrame:

@@ -22,6 +22,17 @@ def test_mono_grid(spark):
     assert layout.mono_grid_regions(df.limit(0)).count() == 0
 
 
+def test_mono_grid_weighs_lines_as_wholes(spark):
+    """Characters aren't dealt out: what goes through exchanges has a row per line, and each cell is made once."""
+    from folia.plans import registry
+
+    plan = registry.queries()["mono_grid_regions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "posexplode(split(line" not in plan
+    mixed = [(1, 0, 0, [(0, "a", 72.0, 78.0, True), (1, "b", 78.0, 83.0, True), (2, "c", 84.0, 90.0, True)]), (1, 0, 1, [(0, "d", 72.0, 78.0, True), (1, "e", None, 84.0, True)]), (1, 0, 2, [(0, "f", 72.0, 78.0, True), (1, "\u00a0", 72.5, 78.5, True)]), (1, 0, 3, [])]
+    df = spark.createDataFrame(mixed, "doc_id long, page int, line int, chars array<struct<ord:int,c:string,x1:double,x2:double,mono:boolean>>")
+    assert [tuple(r) for r in layout.mono_grid_lines(df).select("first_line", "last_line", "n_lines", "width", "grid_share").collect()] == [(0, 2, 3, 6.0, 1.0)]
+
+
 def test_overlay(spark):
     blocks = spark.createDataFrame([(1, 0, 0, 9, "a"), (1, 0, 10, 19, "b"), (1, 0, 20, 29, "c"), (1, 0, 30, 39, "d"), (2, 0, 0, 5, "e")], "doc_id long, page int, start int, end int, type string")
     regions = spark.createDataFrame([(1, 0, 5, 14), (1, 0, 22, 24)], "doc_id long, page int, start int, end int")
