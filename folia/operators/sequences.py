@@ -7,6 +7,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of the plan's estimate (files and columns that are read) that a task gets where rows are dealt by size.
+PART_BYTES = 2_000_000
+
+
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """rows dealt by key to as many partitions as their size asks for, so that a task's memory doesn't grow with the
+    input. Windows and groupings by the key, or by more than it, need no further exchange."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(max(-(-size // PART_BYTES), rows.sparkSession.sparkContext.defaultParallelism), *key)
+
+
 def islands(rows: DataFrame, key: list[str], order: str, flag: Column, name: str = "island") -> DataFrame:
     """Numbers runs of rows: a run ends where flag changes."""
     w = Window.partitionBy(*key).orderBy(order)
