@@ -45,7 +45,7 @@ def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, va
         marks.select(key, F.col(mark_at).alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__value")), allowMissingColumns=True
     )
     w = Window.partitionBy(key).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(w)).filter("__kind = 1").drop("__at", "__kind", "__value")
+    return dealt(both, key).withColumn(value, F.last("__value", ignorenulls=True).over(w)).filter("__kind = 1").drop("__at", "__kind", "__value")
 
 
 def locations(rows: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
