@@ -13,6 +13,7 @@ from folia.operators import line_features as LF
 from folia.operators import links as LK
 from folia.operators import nodes as N
 from folia.operators import raw_annotations as RA
+from folia.operators import sequences as Q
 from folia.operators import text_layer as T
 from folia.sources import epub as E
 from folia.sources.html import dom_nodes
@@ -27,7 +28,8 @@ def _numbered(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return _t(spark, d, "lineitem").withColumn("n", F.row_number().over(w))
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return Q.dealt(li, "l_orderkey").withColumn("n", F.row_number().over(w))
 
 
 # Raw annotations, made of lineitem

@@ -8,7 +8,7 @@ from folia.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["region_overlay", "label_blocks", "page_map_scores"])
+@pytest.mark.parametrize("name", ["region_overlay", "label_blocks", "page_map_scores", "block_context"])
 def test_rows_are_dealt_by_size(spark, monkeypatch, name):
     """Twice the rows give about twice the tasks, not tasks of twice the size."""
     parts = {}
