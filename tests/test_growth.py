@@ -16,3 +16,24 @@ def test_rows_are_dealt_by_size(spark, monkeypatch, name):
         monkeypatch.setattr(Q, "PART_BYTES", size)
         parts[size] = registry.queries()[name](spark, SF).rdd.getNumPartitions()
     assert parts[2_000] >= 1.8 * parts[4_000] > 2 * spark.sparkContext.defaultParallelism
+
+
+def _plan(spark, name):
+    return registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["epub_packages"])
+def test_python_holds_a_row_at_a_time(spark, name):
+    assert "MapInPandas" not in _plan(spark, name) and "MapInArrow" in _plan(spark, name)
+
+
+def test_results_go_on_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from folia.sources import by_row
+
+    sent = []
+    rows = spark.createDataFrame([(1, 3), (2, 0), (3, 5)], "k long, n int")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: sent.extend(run([pa.RecordBatch.from_pandas(self.toPandas())])))
+    by_row.by_row(rows, lambda k, n: ((k, "x" * 1_000_000) for _ in range(n)), "k long, s string")
+    assert [b.column(0).to_pylist() for b in sent] == [[1, 1], [1, 3], [3, 3], [3, 3]]
