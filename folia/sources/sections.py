@@ -10,11 +10,11 @@ import io
 import re
 import zipfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.operators.blocks import Block, Converter, Span, book_type
+from folia.sources.by_row import by_row
 from folia.sources.epub import _Markup, package
 from folia.sources.html import tree
 from folia.sources.page_index import PageIndex
@@ -110,34 +110,38 @@ def sections_of(raw: bytes | None) -> list[dict]:
 def sections(books: DataFrame) -> DataFrame:
     """Rows of a table doc_id, bytes; see SCHEMA. name: path, id, label or link; type: block type, marker source or link type."""
 
-    def run(frames):
-        for f in frames:
-            rows = [{"doc_id": d} | x for d, raw in zip(f.doc_id, f.bytes, strict=True) for x in sections_of(raw)]
-            frame = pd.DataFrame(rows, columns=COLUMNS, dtype=object)  # plain objects: a column without any value isn't a number
-            yield frame.astype(dict.fromkeys(["doc_id", "spine", "block", "ord"], "Int64")).where(frame.notna(), None)
+    return by_row(books.select("doc_id", "bytes"), lambda doc_id, raw: ((doc_id, *map(x.get, COLUMNS[1:])) for x in sections_of(raw)), SCHEMA)
 
-    return books.select("doc_id", "bytes").mapInPandas(run, SCHEMA)
+
+# All windows below stand on a book or parts of it: a book's rows are read once and go through one exchange.
+
+
+def _start(order: str = "spine"):
+    """The number of blocks in the book before the spine item."""
+    before = Window.partitionBy("doc_id").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.count_if(F.col("kind") == "block").over(before), F.lit(0))
 
 
 def with_offsets(rows: DataFrame) -> DataFrame:
     """rows with `place`: the block's number in the whole book."""
-    n = rows.groupBy("doc_id", "spine").agg(F.count_if(F.col("kind") == "block").alias("__n"))
-    w = Window.partitionBy("doc_id").orderBy("spine").rowsBetween(Window.unboundedPreceding, -1)
-    start = n.withColumn("__start", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    return rows.join(start, ["doc_id", "spine"]).withColumn("place", F.col("__start") + F.coalesce("block", F.lit(0))).drop("__start")
+    known = rows.filter("doc_id is not null and spine is not null")
+    return known.withColumn("place", _start() + F.coalesce("block", F.lit(0)))
+
+
+def _last_id(name: str):
+    """The last row with an id of the book among those that share the column: its spine, ord, block and place."""
+    return F.max(F.when((F.col("kind") == "id") & F.col("name").isNotNull(), F.struct("spine", "ord", "block", "place"))).over(Window.partitionBy("doc_id", name))
 
 
-def _ids(placed: DataFrame) -> DataFrame:
-    """The last of each id in a book."""
-    x = placed.filter("kind = 'id'").groupBy("doc_id", "name").agg(F.max(F.struct("spine", "ord", "block", "place")).alias("x"))
-    return x.select("doc_id", F.col("name").alias("fragment"), F.col("x.spine").alias("at_spine"), F.col("x.block").alias("at_block"), F.col("x.place").alias("target"))
+def _last_file(name: str):
+    """The last spine item (spine, place) among those that share the column."""
+    return F.max(F.when((F.col("kind") == "section") & F.col("name").isNotNull(), F.struct("spine", "place"))).over(Window.partitionBy("doc_id", name))
 
 
-def _files(placed: DataFrame) -> DataFrame:
-    """doc_id, file, file_spine: paths and bare names, the last spine item of each."""
-    s = placed.filter("kind = 'section' and name is not null")
-    named = s.select("doc_id", "spine", F.explode(F.array_distinct(F.array("name", F.element_at(F.split("name", "/"), -1)))).alias("file"))
-    return named.groupBy("doc_id", "file").agg(F.max("spine").alias("file_spine"))
+def _by_file(rows: DataFrame, path) -> DataFrame:
+    """rows with `file`: the path of spine items, and again their bare name; path for others."""
+    names = F.array_distinct(F.array("name", F.element_at(F.split("name", "/"), -1)))
+    return rows.withColumn("file", F.explode(F.when((F.col("kind") == "section") & F.col("name").isNotNull(), names).otherwise(F.array(path))))
 
 
 def _decoded(path):
@@ -147,19 +151,21 @@ def _decoded(path):
 def note_links(rows: DataFrame) -> DataFrame:
     """doc_id, source, target (places in the book), back (all sources of the target): links to notes. A link counts by
     its type, else by its role, else if it leads to a note block; one whose file isn't the id's leads nowhere."""
-    placed = with_offsets(rows)
-    links = placed.filter("kind = 'link' and name like '%#_%'").select(
-        "doc_id", F.col("place").alias("source"), F.regexp_extract("name", "^([^#]*)#", 1).alias("path"), F.regexp_extract("name", "^[^#]*#(.*)$", 1).alias("fragment"), "type", "role")
-    x = links.join(_ids(placed), ["doc_id", "fragment"])
-    f = _files(placed)
-    x = x.join(f.withColumnRenamed("file", "path"), ["doc_id", "path"], "left").withColumn("plain", _decoded(F.col("path")))
-    x = x.join(f.select("doc_id", F.col("file").alias("plain"), F.col("file_spine").alias("plain_spine")), ["doc_id", "plain"], "left")
+    x = with_offsets(rows.select("doc_id", "spine", "kind", "block", "ord", "name", "type", "role"))
+    is_link, is_block = F.col("kind") == "link", F.col("kind") == "block"
+    x = x.filter("kind in ('block', 'id', 'section') or kind = 'link' and name like '%#_%'")
+    x = x.withColumn("path", F.when(is_link, F.regexp_extract("name", "^([^#]*)#", 1)))
+    x = x.withColumn("fragment", F.when(is_link, F.regexp_extract("name", "^[^#]*#(.*)$", 1)).when(F.col("kind") == "id", F.col("name")))
+    x = x.withColumn("id", _last_id("fragment")).filter(~is_link | F.col("id").isNotNull())
+    x = _by_file(x, F.col("path")).withColumn("file_spine", _last_file("file")["spine"])
+    x = x.withColumn("plain", F.when(is_link, _decoded(F.col("path"))).otherwise(F.col("file"))).withColumn("plain_spine", _last_file("plain")["spine"])
     spine = F.coalesce("file_spine", "plain_spine")
-    x = x.filter((F.col("path") == "") | spine.isNull() | (spine == F.col("at_spine")))
-    ends = placed.filter("kind = 'block'").select("doc_id", F.col("place").alias("target"), F.col("type").alias("block_type"))
-    sources = placed.filter("kind = 'block'").select("doc_id", F.col("place").alias("source"))
-    x = x.join(ends, ["doc_id", "target"]).join(sources, ["doc_id", "source"], "left_semi")
-    note = F.when(F.array_contains(F.split("type", " "), "noteref"), True).when(F.col("role") == "doc-link", False).when(F.col("role").isin(*NOTE_ROLES), True).otherwise(F.col("block_type") == "note")
+    x = x.filter(is_block | (is_link & ((F.col("path") == "") | spine.isNull() | (spine == F.col("id.spine")))))
+    x = x.withColumn("source", F.col("place")).withColumn("target", F.when(is_block, F.col("place")).otherwise(F.col("id.place")))
+    x = x.withColumn("end", F.max(F.when(is_block, F.struct("type"))).over(Window.partitionBy("doc_id", "target")))
+    x = x.withColumn("begun", F.max(is_block).over(Window.partitionBy("doc_id", "source")))
+    x = x.filter(is_link & F.col("end").isNotNull() & F.col("begun"))
+    note = F.when(F.array_contains(F.split("type", " "), "noteref"), True).when(F.col("role") == "doc-link", False).when(F.col("role").isin(*NOTE_ROLES), True).otherwise(F.col("end.type") == "note")
     return x.filter(note).select("doc_id", "source", "target").withColumn("back", F.array_sort(F.collect_list("source").over(Window.partitionBy("doc_id", "target"))))
 
 
@@ -180,12 +186,12 @@ def marker_places(rows: DataFrame) -> DataFrame:
 
 
 def _placed_entries(entries: DataFrame, rows: DataFrame) -> DataFrame:
-    placed = with_offsets(rows)
-    toc = entries.select("doc_id", "ord", "parent", "label", F.regexp_extract("href", "^[^#]*", 0).alias("file"), F.nullif(F.regexp_extract("href", "#(.*)$", 1), F.lit("")).alias("fragment"))
-    starts = placed.filter("kind = 'section'").select("doc_id", F.col("spine").alias("file_spine"), F.col("place").alias("start"))
-    x = toc.join(_files(placed), ["doc_id", "file"], "left").join(starts, ["doc_id", "file_spine"], "left")
-    ids = _ids(placed).select("doc_id", "fragment", "target")
-    x = x.join(ids, ["doc_id", "fragment"], "left").withColumn("plain", _decoded(F.col("fragment")))
-    x = x.join(ids.select("doc_id", F.col("fragment").alias("plain"), F.col("target").alias("plain_target")), ["doc_id", "plain"], "left")
+    toc = entries.select("doc_id", F.lit("entry").alias("kind"), "ord", "parent", "label", F.regexp_extract("href", "^[^#]*", 0).alias("path"), F.nullif(F.regexp_extract("href", "#(.*)$", 1), F.lit("")).alias("fragment"))
+    known = rows.filter("doc_id is not null and spine is not null and kind in ('block', 'id', 'section')").select("doc_id", "spine", "kind", "block", "ord", "name")
+    is_entry = F.col("kind") == "entry"
+    x = known.unionByName(toc, allowMissingColumns=True).withColumn("place", _start() + F.coalesce("block", F.lit(0))).filter("kind <> 'block'")
+    x = _by_file(x, F.col("path")).withColumn("start", _last_file("file")["place"]).filter("kind <> 'section'")
+    x = x.withColumn("id_name", F.when(is_entry, F.col("fragment")).otherwise(F.col("name"))).withColumn("target", _last_id("id_name")["place"])
+    x = x.withColumn("plain", F.when(is_entry, _decoded(F.col("fragment"))).otherwise(F.col("name"))).withColumn("plain_target", _last_id("plain")["place"])
     place = F.when(F.col("start").isNull(), None).when(F.col("fragment").isNull(), F.col("start")).otherwise(F.coalesce("target", "plain_target"))
-    return x.select("doc_id", "ord", "parent", "label", place.alias("place"))
+    return x.filter(is_entry).select("doc_id", "ord", "parent", "label", place.alias("place"))

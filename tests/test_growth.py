@@ -37,3 +37,9 @@ def test_results_go_on_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: sent.extend(run([pa.RecordBatch.from_pandas(self.toPandas())])))
     by_row.by_row(rows, lambda k, n: ((k, "x" * 1_000_000) for _ in range(n)), "k long, s string")
     assert [b.column(0).to_pylist() for b in sent] == [[1, 1], [1, 3], [3, 3], [3, 3]]
+
+
+@pytest.mark.parametrize("name, stages", [("epub_note_links", 2)])
+def test_books_are_read_once(spark, name, stages):
+    """One stage packs and one reads, for the contents besides one each; before, every join read them again."""
+    assert _plan(spark, name).count("MapInArrow") == stages and "Join" not in _plan(spark, name)
