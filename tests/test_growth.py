@@ -39,7 +39,7 @@ def test_results_go_on_in_small_batches(spark, monkeypatch):
     assert [b.column(0).to_pylist() for b in sent] == [[1, 1], [1, 3], [3, 3], [3, 3]]
 
 
-@pytest.mark.parametrize("name, stages", [("epub_note_links", 2)])
+@pytest.mark.parametrize("name, stages", [("epub_note_links", 2), ("epub_contents_places", 4)])
 def test_books_are_read_once(spark, name, stages):
     """One stage packs and one reads, for the contents besides one each; before, every join read them again."""
     assert _plan(spark, name).count("MapInArrow") == stages and "Join" not in _plan(spark, name)
