@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.functions.scalars import round_half_up
+from folia.sources.by_row import by_row
 
 # The subtypes that are read and their names, those that count as markup, sizes.
 TYPES = {"Text": "note", "Highlight": "highlight", "Underline": "underline", "Square": "image", "Ink": "ink", "FreeText": "text"}
@@ -239,32 +240,29 @@ def split_long(annotations: DataFrame, most: int = MOST_POSITION_CHARS) -> DataF
     short = sized.filter(F.coalesce(F.col("__size") < most, F.lit(True))).drop("__size").withColumn("part", F.lit(0))
     text = lambda x: str(int(x)) if x == int(x) else repr(x)
 
-    def pieces(row) -> list[tuple]:
-        if row.paths is None:
-            base = len(f'{{"pageIndex":{row.page_index},"rects":[]}}')
-            at = _cut([len(",".join(map(text, r))) + 3 for r in row.rects], base, most)
-            return [(k, [r for r, p in zip(row.rects, at, strict=True) if p == k], None) for k in range(at[-1] + 1)]
-        base = len(f'{{"pageIndex":{row.page_index},"paths":[[]],"width":{text(row.width)}}}')
-        points = [(i, float(p[j]), float(p[j + 1])) for i, p in enumerate(row.paths) for j in range(0, len(p), 2)]
+    def pieces(page_index, rects, paths, width) -> list[tuple]:
+        if paths is None:
+            base = len(f'{{"pageIndex":{page_index},"rects":[]}}')
+            parts: dict[int, list] = {}
+            for r, p in zip(rects, _cut([len(",".join(map(text, r))) + 3 for r in rects], base, most), strict=True):
+                parts.setdefault(p, []).append(r)
+            return [(k, part, None) for k, part in parts.items()]
+        base = len(f'{{"pageIndex":{page_index},"paths":[[]],"width":{text(width)}}}')
+        points = [(i, float(p[j]), float(p[j + 1])) for i, p in enumerate(paths) for j in range(0, len(p), 2)]
         sizes = [len(f"{text(x)},{text(y)}") + 1 + 3 * (k > 0 and points[k - 1][0] != i) for k, (i, x, y) in enumerate(points)]
         at = _cut(sizes, base, most)
-        out = []
-        for k in range(at[-1] + 1):
-            lines: dict[int, list[float]] = {}
-            for (i, x, y), p in zip(points, at, strict=True):
-                if p == k:
-                    lines.setdefault(i, []).extend((x, y))
-            out.append((k, None, list(lines.values())))
-        return out
+        lines: dict[int, dict[int, list[float]]] = {}
+        for (i, x, y), p in zip(points, at, strict=True):
+            lines.setdefault(p, {}).setdefault(i, []).extend((x, y))
+        return [(k, None, list(part.values())) for k, part in lines.items()]
 
-    def run(frames):
-        for f in frames:
-            out = [(*[getattr(row, c) for c in plain], *x) for row in f.itertuples() for x in pieces(row)]
-            yield pd.DataFrame(out, columns=[*plain, "part", "rects", "paths"])[[*names, "part"]]
+    def rows(*values):
+        row = dict(zip(names, values, strict=True))
+        for part, rects, paths in pieces(row["page_index"], row["rects"], row["paths"], row["width"]):
+            yield (*(row | {"rects": rects, "paths": paths}).values(), part)
 
-    plain = [c for c in names if c not in ("rects", "paths")]
     schema = ", ".join(f"`{c}` {t}" for c, t in annotations.dtypes) + ", part int"
-    return short.unionByName(sized.filter(F.col("__size") >= most).drop("__size").mapInPandas(run, schema))
+    return short.unionByName(by_row(sized.filter(F.col("__size") >= most).drop("__size"), rows, schema))
 
 
 def quads_of(rects: Column) -> Column:
