@@ -22,7 +22,7 @@ def _plan(spark, name):
     return registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["epub_packages", "annotations_split", "page_block_text", "page_dom_map"])
+@pytest.mark.parametrize("name", ["epub_packages", "annotations_split", "page_block_text", "page_dom_map", "page_dom_index"])
 def test_python_holds_a_row_at_a_time(spark, name):
     assert "MapInPandas" not in _plan(spark, name) and "MapInArrow" in _plan(spark, name)
 
