@@ -16,23 +16,50 @@ LABELS = {
     "table": "table", "tbl": "table", "equation": "math", "eq": "math", "example": "example", "ex": "example",
 }
 FIRST_YEAR = 1800
+#: Items whose sums are built together.
+CHUNK = 8
 
 
 def is_year(word: Column, now: int) -> Column:
     return word.rlike("^[1-9][0-9]{3}$") & F.when(word.rlike("^[0-9]{4}$"), word.cast("int")).between(FIRST_YEAR, now)
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def starts(sizes: Column) -> Column:
+    """The sum of the sizes before each item of an array. Sums are built by chunks, so that a long array doesn't cost the
+    square of its length; nothing is exchanged."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+    first = lambda a, n: F.slice(a, F.lit(1), n)
+
+    def of_chunks(chunks: Column) -> Column:
+        begins = _let(F.transform(chunks, total), lambda sums: F.transform(sums, lambda _, i: total(first(sums, i))))
+        return _let(begins, lambda begin: F.flatten(F.transform(chunks, lambda c, i: F.transform(c, lambda _, k: F.get(begin, i) + total(first(c, k))))))
+
+    def chunked(sizes: Column) -> Column:
+        n_chunks = F.ceil(F.size(sizes) / CHUNK).cast("int")
+        at = F.sequence(F.lit(0), F.greatest(n_chunks - 1, F.lit(0)))
+        return _let(F.transform(at, lambda k: F.slice(sizes, k * CHUNK + 1, F.lit(CHUNK))), of_chunks)
+
+    return _let(sizes, chunked)
+
+
 def pieces(rows: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
     """key, place, start, piece: a text cut into the pattern's matches, which must cover it."""
-    cut = rows.select(*key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("place", "piece"))
-    before = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return cut.withColumn("start", F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)))
+    placed = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda cut: F.arrays_zip(
+        cut.alias("piece"), starts(F.transform(cut, F.char_length)).alias("start")))
+    x = rows.select(*key, F.posexplode(placed).alias("place", "x"))
+    return x.select(*key, "place", "x.piece", F.col("x.start").cast("long").alias("start"))
 
 
 def words(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     """key, start, end (inclusive), word: runs without blanks."""
-    x = pieces(rows, key, text, r"\S+|\s+").filter(~F.col("piece").rlike(r"^\s"))
-    return x.select(*key, "start", (F.col("start") + F.char_length("piece") - 1).alias("end"), F.col("piece").alias("word"))
+    x = pieces(rows, key, text, r"\S+\s*|\s+").filter(~F.col("piece").rlike(r"^\s"))
+    x = x.select(*key, "start", F.rtrim("piece", F.lit(" \t\n\v\f\r")).alias("word"))
+    return x.select(*key, "start", (F.col("start") + F.char_length("word") - 1).alias("end"), "word")
 
 
 def reference_index(items: DataFrame, regular: DataFrame, now: int) -> DataFrame:

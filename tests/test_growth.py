@@ -1,5 +1,7 @@
 """What keeps a task's memory and the work from growing faster than the input."""
 
+import re
+
 import pytest
 
 from folia.operators import sequences as Q
@@ -43,3 +45,13 @@ def test_results_go_on_in_small_batches(spark, monkeypatch):
 def test_books_are_read_once(spark, name, stages):
     """One stage packs and one reads, for the contents besides one each; before, every join read them again."""
     assert _plan(spark, name).count("MapInArrow") == stages and "Join" not in _plan(spark, name)
+
+
+def test_offsets_need_no_exchange(spark):
+    from folia.operators import citations as C
+
+    lines = [(1, "  a bb" + " \t" * 40 + " ccc" * 70 + " d "), (2, ""), (3, None), (4, "x")]
+    got = C.words(spark.createDataFrame(lines, "k int, t string"), ["k"], "t")
+    want = [(k, m.start(), m.end() - 1, m[0]) for k, t in lines for m in re.finditer(r"[^ \t]+", t or "")]
+    assert sorted(map(tuple, got.collect())) == want
+    assert "Window" not in _plan(spark, "word_offsets")
